@@ -70,7 +70,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     """
     rows = _keyed(docs, id_col, text_col, salts, digest_bits)
     salted = rows.groupBy("sha", "salt", "norm").agg(F.max(_packed(F.col("len"), F.col("id"))).alias("best"), F.count("*").alias("n"))
-    groups = salted.groupBy("sha", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
+    # Dealt out by digest alone, which serves the grouping and the count of texts below.
+    groups = salted.repartition("sha").groupBy("sha", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
     alike = Window.partitionBy("sha")
     # The text itself is carried on only where different texts share a digest.
     groups = groups.withColumn("texts", F.count("*").over(alike)).withColumn("norm", F.when(F.col("texts") > 1, F.col("norm")))
