@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm import bpe, exact, mixing, rules, simhash
+from lakemill.llm import bpe, chat, exact, langid, mixing, quality, rules, simhash, warc
+from lakemill.llm.common import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return views.select("conv_id", "participant", "n_turns", "n_own", "rendered", mask.alias("mask"), "n_masked_in")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _documents(spark, sf_dir), langid.fold("doc_id", 3)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 1)
+    rows = quality.score(docs, quality.learn(docs, labels))
+    return rows.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -35,13 +55,42 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "size", "source_size", "target", "taken", "rounds", "stop")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _documents(spark, sf_dir), langid.fold("doc_id", 4)
+    rows = langid.predict(docs, langid.learn(docs.where(fold != 2)))
+    return rows.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op5_simhash, op6_rules, op8_mix, op10_exact)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op4_warc, op5_simhash, op6_rules, op8_mix, op9_language, op10_exact)}
 
 ORACLE: dict[str, str] = {
+    "op2_chat": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<|im-') AS text FROM conversations),
+        v AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+        p AS (
+          SELECT t.conv_id, participant, turn, t.role, t.text, t.role = participant AS own,
+                 '<|im_start|>' || CASE WHEN t.role = participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
+                 t.text || '<|im_end|>' || chr(10) AS body
+          FROM t JOIN v USING (conv_id)),
+        s AS (
+          SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at FROM p)
+        SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+               coalesce(string_agg(CAST(at AS BIGINT) || '+' || length(body), ',' ORDER BY at) FILTER (own), '') AS mask,
+               CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS n_masked_in
+        FROM s GROUP BY conv_id, participant""",
+    "op4_warc": r"""
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to
+        FROM p""",
     "op10_exact": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
