@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm import bpe, chat, exact, langid, mixing, quality, rules, simhash, warc
+from lakemill.llm import bpe, chat, exact, langid, mixing, quality, rules, simhash, substrings, warc
 from lakemill.llm.common import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return rows.select("row.doc_id", "size", "source_size", "target", "taken", "rounds", "stop")
@@ -65,7 +71,7 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op4_warc, op5_simhash, op6_rules, op8_mix, op9_language, op10_exact)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op4_warc, op5_simhash, op6_rules, op7_repeats, op8_mix, op9_language, op10_exact)}
 
 ORACLE: dict[str, str] = {
     "op2_chat": r"""
@@ -78,10 +84,10 @@ ORACLE: dict[str, str] = {
                  t.text || '<|im_end|>' || chr(10) AS body
           FROM t JOIN v USING (conv_id)),
         s AS (
-          SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at FROM p)
+          SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM p)
         SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
                string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-               coalesce(string_agg(CAST(at AS BIGINT) || '+' || length(body), ',' ORDER BY at) FILTER (own), '') AS mask,
+               coalesce(string_agg(CAST(pos AS BIGINT) || '+' || length(body), ',' ORDER BY pos) FILTER (own), '') AS mask,
                CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS n_masked_in
         FROM s GROUP BY conv_id, participant""",
     "op4_warc": r"""
