@@ -31,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import LAST_ID, batches_of_rows, ready, text_of
+from lakemill.llm.common import LAST_ID, batches_of_rows, checkpointed, ready, text_of
 
 LENGTH, ANCHOR, CHUNK_MASK, SALTS = 50, 20, 31, 64
 WINDOW = LENGTH - ANCHOR + 1
+#: Bytes of text that a task looks at together.
+BLOCK = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
-DOC = np.dtype([("ord", "<i8"), ("tag", "<i8")])
-#: What an anchor sends: the rest of its hash, its document and its place.
-SENT = np.dtype([("rest", "<u4"), ("at", "<u4"), ("ord", "<i8"), ("tag", "<i8")])
 #: What stands before the bytes of a run of strings that share an anchor.
 RUN = np.dtype([("ord", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("size", "<u4")])
 
@@ -69,10 +68,13 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
         return total ^ (total >> _U(32))
 
 
-def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first, last): the anchors of a text and the strings that each serves."""
+def runs(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, anchor, first, last): the anchors of texts that stand one after another, and the strings that each serves.
+
+    ``offsets`` are the texts' bounds; places count from the start of ``b``.
+    """
+    none = np.zeros(0, np.int64)
     if len(b) < LENGTH:
-        none = np.zeros(0, np.int64)
         return none.astype(_U), none, none, none
     h = gram_hashes(b)
     key = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
@@ -82,149 +84,191 @@ def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         width *= 2
     rest = WINDOW - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    # A string that would cross into the next text is none.
+    valid = np.ones(len(least) + LENGTH, bool)
+    for k in range(1, LENGTH):
+        valid[np.maximum(offsets[1:] - k, 0)] = False
+    valid = valid[: len(least)]
+    change = np.r_[True, least[1:] != least[:-1]]
+    first = np.flatnonzero(valid & (change | ~np.r_[False, valid[:-1]]))
+    last = np.flatnonzero(valid & (np.r_[change[1:], True] | ~np.r_[valid[1:], False]))
     anchor = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
-    return h[anchor], anchor, first, np.r_[first[1:], len(least)] - 1
+    return h[anchor], anchor, first, last
 
 
-def chunks(h: np.ndarray, anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of strings' starts that chunks settle; they cover 0 to n - 50."""
-    cut = anchor[(h & _U(CHUNK_MASK)) == 0]
-    starts = np.unique(np.r_[0, cut[cut <= n - LENGTH]])
-    return starts, np.r_[starts[1:], n - LENGTH + 1]
+def chunks(h: np.ndarray, anchor: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop) of the runs of strings' starts that chunks settle; they cover every string of every text."""
+    long = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    starts = np.unique(np.r_[offsets[long], anchor[(h & _U(CHUNK_MASK)) == 0]])
+    text = np.searchsorted(offsets, starts, "right") - 1
+    end = offsets[text + 1] - LENGTH + 1
+    keep = starts < end
+    starts, text, end = starts[keep], text[keep], end[keep]
+    return text, starts, np.minimum(np.r_[starts[1:], end[-1:]], end)
 
 
-def _bytes(text) -> np.ndarray:
-    return np.frombuffer((text.as_py() or "").encode(), np.uint8)
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one text after another, and their bounds; nothing is copied."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _chunk_rows(batches: Iterator) -> Iterator:
     from xxhash import xxh3_128_digest
 
-    for batch in batches_of_rows(batches):
-        marks, docs, starts, ends = [], [], [], []
-        for i, text in enumerate(batch.column(2)):
-            raw = (text.as_py() or "").encode()
-            if len(raw) < LENGTH:
-                continue
-            h, anchor, _, _ = runs(np.frombuffer(raw, np.uint8))
-            a, z = chunks(h, anchor, len(raw))
-            marks += [xxh3_128_digest(raw[x : y + LENGTH - 1]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-            docs.append(np.full(len(a), i))
-            starts.append(a)
-            ends.append(z)
-        if marks:
-            at = pa.array(np.concatenate(docs))
-            mark = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], names=["h1", "h2", "ord", "tag", "start", "stop"])
-
-
-def _inside(starts: np.ndarray, spans: list | None) -> np.ndarray:
-    """Which positions lie in one of the sorted, separate spans (start, stop)."""
-    if not spans:
-        return np.zeros(len(starts), bool)
-    s = np.array([(x["start"], x["stop"]) for x in spans], np.int64)
-    s = s[np.argsort(s[:, 0], kind="stable")]
-    k = np.searchsorted(s[:, 0], starts, "right") - 1
-    return (k >= 0) & (starts < s[np.maximum(k, 0), 1])
-
-
-def _packed(kind: int, part: np.ndarray, data: np.ndarray):
-    """A row (kind, part, data) for each part of a structured array."""
-    order = np.argsort(part, kind="stable")
-    part, data = part[order], data[order]
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    rows = [data[a:z].tobytes() for a, z in zip(cut, np.r_[cut[1:], len(part)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(part[cut], pa.int32()), pa.array(rows, pa.binary())], names=["kind", "part", "data"])
-
-
-def _doc_part(ords: np.ndarray, parts: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((ords.astype("<i8").view(_U) * _M1) >> _U(40)).astype(np.int64) % parts
+    for batch in batches_of_rows(batches, BLOCK):
+        b, offsets = _texts(batch.column(3))
+        h, anchor, _, _ = runs(b, offsets)
+        text, starts, stops = chunks(h, anchor, offsets)
+        if not len(text):
+            continue
+        raw = memoryview(b)
+        mark = np.frombuffer(b"".join([xxh3_128_digest(raw[x:y]) for x, y in zip(starts.tolist(), (stops + LENGTH - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy()), pa.array(_long(batch.column(0))[text]), pa.array(_long(batch.column(1))[text]), pa.array((starts - offsets[text]).astype(np.int32)), pa.array((stops - offsets[text]).astype(np.int32))], names=["h1", "h2", "ord", "tag", "start", "stop"])
+
+
+def _spans(column: pa.Array, ords: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted starts and stops of the settled spans of all texts, counted from the start of the block."""
+    a, z = [], []
+    for k in np.flatnonzero(np.asarray(column.is_valid())):
+        for x in column[int(k)].as_py():
+            if x["ord"] == ords[k]:
+                a.append(x["start"] + offsets[k])
+                z.append(x["stop"] + offsets[k])
+    a, z = np.array(a, np.int64), np.array(z, np.int64)
+    order = np.argsort(a, kind="stable")
+    return a[order], z[order]
+
+
+def _inside(places: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Which places lie in one of the sorted, separate spans."""
+    if not len(a):
+        return np.zeros(len(places), bool)
+    k = np.searchsorted(a, places, "right") - 1
+    return (k >= 0) & (places < z[np.maximum(k, 0)])
+
+
+def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(key):
+        none = np.zeros(0, np.int64)
+        return none, none
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return start, np.r_[start[1:], len(key)]
+
+
+def _packed_asks(kind: int, part: np.ndarray, tags: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+    """A row (kind, part, data) for each part; data: documents, their tags and numbers of hashes, then all hashes."""
+    order = np.lexsort((rest, tags, part))
+    part, tags, rest = part[order], tags[order], rest[order]
+    parts, rows = [], []
+    for x, y in zip(*_cuts(part), strict=True):
+        a, z = _cuts(tags[x:y])
+        parts.append(int(part[x]))
+        rows.append(np.int64(len(a)).tobytes() + tags[x:y][a].astype("<i8").tobytes() + (z - a).astype("<u4").tobytes() + rest[x:y].astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], names=["kind", "part", "data"])
+
 
+def _unpacked_asks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    tags, counts = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n)
+    return np.repeat(tags, counts), np.frombuffer(data, "<u4", -1, 8 + 12 * n)
 
-def _repeated(key: np.ndarray, ords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _tag_part(tags: np.ndarray, parts: int) -> np.ndarray:
+    return (tags.view(_U) >> _U(20)).astype(np.int64) % parts
+
+
+def _repeated(key: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows sorted by key and then document: whether a key has several documents, and whether a row is its first."""
-    first = np.r_[True, key[1:] != key[:-1]]
-    group = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    ends = np.r_[starts[1:], len(key)] - 1
-    return (ords[starts] != ords[ends])[group], first
+    a, z = _cuts(key)
+    first = np.zeros(len(key), bool)
+    first[a] = True
+    return np.repeat(tags[a] != tags[z - 1], z - a), first
 
 
 def _anchor_rows(parts: int):
-    """Kind 0: an anchor to be compared with those of other tasks; kind 1: one that is known to stand in two documents."""
+    """Kind 0: hashes of anchors to be compared with those of other tasks; kind 1: some that are known to stand in two documents."""
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches_of_rows(batches):
-            hs, sent = [], []
-            for o, t, text, settled in zip(*(batch.column(k) for k in range(4)), strict=True):
-                b = _bytes(text)
-                if len(b) < LENGTH:
-                    continue
-                h, anchor, first, last = runs(b)
+        for batch in batches_of_rows(batches, 8 * BLOCK):
+            hs, tags = [], []
+            for part in batches_of_rows([batch], BLOCK):
+                b, offsets = _texts(part.column(3))
+                h, anchor, first, last = runs(b, offsets)
+                spans = _spans(part.column(4), _long(part.column(0)), offsets)
                 # A run goes on if any of its strings is not settled.
-                keep = ~(_inside(first, settled.as_py()) & _inside(last, settled.as_py()))
-                rows = np.zeros(int(keep.sum()), SENT)
-                rows["at"], rows["ord"], rows["tag"] = anchor[keep], o.as_py(), t.as_py()
+                keep = ~(_inside(first, *spans) & _inside(last, *spans))
                 hs.append(h[keep])
-                sent.append(rows)
-            if not sent:
-                continue
-            h, rows = np.concatenate(hs), np.concatenate(sent)
+                tags.append(_long(part.column(1))[np.searchsorted(offsets, anchor[keep], "right") - 1])
+            h, tag = np.concatenate(hs), np.concatenate(tags)
             if not len(h):
                 continue
-            order = np.lexsort((rows["ord"], h))
-            h, rows = h[order], rows[order]
-            shared, first = _repeated(h, rows["ord"])
+            order = np.lexsort((tag, h))
+            h, tag = h[order], tag[order]
+            again = np.r_[False, (h[1:] == h[:-1]) & (tag[1:] == tag[:-1])]
+            h, tag = h[~again], tag[~again]
+            shared, first = _repeated(h, tag)
+            rest = (h & _U(0xFFFFFFFF)).astype("<u4")
             if shared.any():
-                yield _packed(1, _doc_part(rows["ord"][shared], parts), rows[shared])
-            part = (h >> _U(32)).astype(np.int64) % parts
-            rows["rest"] = (h & _U(0xFFFFFFFF)).astype("<u4")
-            lead = first | ~shared  # a shared key is known already; its first document speaks for it
-            yield _packed(0, part[lead], rows[lead])
+                yield _packed_asks(1, _tag_part(tag[shared], parts), tag[shared], rest[shared])
+            lead = first | ~shared  # a shared hash is known already; its first document speaks for it
+            yield _packed_asks(0, (h[lead] >> _U(32)).astype(np.int64) % parts, tag[lead], rest[lead])
 
     return emit
 
 
-def _by_doc(rows: np.ndarray) -> pa.Table:
-    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["ord"]))]
-    cut = np.flatnonzero(np.r_[True, (rows["ord"][1:] != rows["ord"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])]) if len(rows) else np.zeros(0, np.int64)
-    blobs = [rows["at"][a:z].astype("<u4").tobytes() for a, z in zip(cut, np.r_[cut[1:], len(rows)], strict=True)]
-    return pa.table({"ord": pa.array(rows["ord"][cut], pa.int64()), "tag": pa.array(rows["tag"][cut], pa.int64()), "places": pa.array(blobs, pa.binary())})
-
-
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """The anchors of a part that stand in two documents or more, by document."""
-    out = []
-    for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
-        if kind == 1:
-            out.append(np.frombuffer(data, SENT))
-    asked = [np.frombuffer(d, SENT) for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == 0]
-    if asked:
-        rows = np.concatenate(asked)
-        rows = rows[np.lexsort((rows["ord"], rows["rest"]))]
-        out.append(rows[_repeated(rows["rest"], rows["ord"])[0]])
-    return _by_doc(np.concatenate(out) if out else np.zeros(0, SENT))
+    """The anchors' hashes of a part that stand in two documents or more, by document."""
+    kept_tags, kept = [], []
+    for wanted in (1, 0):
+        found = [_unpacked_asks(d) for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == wanted]
+        if found:
+            tags, rest = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not wanted:
+                order = np.lexsort((tags, rest))
+                tags, rest = tags[order], rest[order]
+                some, _ = _repeated(rest, tags)
+                tags, rest = tags[some], rest[some]
+            kept_tags.append(tags)
+            kept.append(rest)
+    tags, rest = (np.concatenate(kept_tags), np.concatenate(kept)) if kept else (np.zeros(0, "<i8"), np.zeros(0, "<u4"))
+    order = np.argsort(tags, kind="stable")
+    tags, rest = tags[order], rest[order]
+    a, z = _cuts(tags)
+    return pa.table({"tag": pa.array(tags[a], pa.int64()), "hashes": pa.array([rest[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary())})
 
 
 def _run_rows(parts: int):
     """Kind 0: the runs of strings around shared anchors, for their part; kind 1: strings that a task has settled itself."""
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches_of_rows(batches):
+        for batch in batches_of_rows(batches, 8 * BLOCK):
             hs, metas, texts = [], [], []
-            for o, t, text, places in zip(*(batch.column(k) for k in range(4)), strict=True):
-                found = places.as_py()
-                if not found:
+            for part in batches_of_rows([batch], BLOCK):
+                found = part.column(4)
+                some = np.flatnonzero(np.asarray(found.is_valid()))
+                if not len(some):
                     continue
-                b = _bytes(text)
-                h, anchor, first, last = runs(b)
-                keep = np.isin(anchor, np.frombuffer(b"".join(found), "<u4"))
-                meta = np.zeros(int(keep.sum()), RUN)
-                meta["ord"], meta["tag"], meta["at"], meta["size"] = o.as_py(), t.as_py(), first[keep], last[keep] - first[keep] + LENGTH
+                part = part.take(pa.array(some))
+                b, offsets = _texts(part.column(3))
+                h, anchor, first, last = runs(b, offsets)
+                text = np.searchsorted(offsets, anchor, "right") - 1
+                wanted = [(k, np.frombuffer(b"".join(x), "<u4")) for k, x in enumerate(part.column(4).to_pylist())]
+                wanted = np.concatenate([(_U(k) << _U(32)) | w.astype(_U) for k, w in wanted])
+                keep = np.isin((text.astype(_U) << _U(32)) | (h & _U(0xFFFFFFFF)), wanted)
+                first, last, text = first[keep], last[keep], text[keep]
+                meta = np.zeros(len(text), RUN)
+                meta["ord"], meta["tag"] = _long(part.column(0))[text], _long(part.column(1))[text]
+                meta["at"], meta["size"] = first - offsets[text], last - first + LENGTH
                 raw = b.tobytes()
-                texts += [raw[a : a + n] for a, n in zip(meta["at"].tolist(), meta["size"].tolist(), strict=True)]
+                texts += [raw[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
                 hs.append(h[keep])
                 metas.append(meta)
             if not texts:
@@ -232,23 +276,28 @@ def _run_rows(parts: int):
             h, meta = np.concatenate(hs), np.concatenate(metas)
             # Of equal runs only that of the first document has to meet the other tasks' runs.
             least: dict[bytes, int] = {}
-            for x, o in zip(texts, meta["ord"].tolist(), strict=True):
+            ords = meta["ord"].tolist()
+            for x, o in zip(texts, ords, strict=True):
                 if o < least.get(x, o + 1):
                     least[x] = o
-            later = np.array([least[x] < o for x, o in zip(texts, meta["ord"].tolist(), strict=True)])
-            if later.any():
-                rows = np.zeros(int(later.sum()), RUN)
-                rows[:] = meta[later]
-                yield _packed(1, _doc_part(rows["ord"], parts), rows)
+            later = np.fromiter((least[x] < o for x, o in zip(texts, ords, strict=True)), bool, len(texts))
             part = (h >> _U(32)).astype(np.int64) % parts
+            kinds, numbers, rows = [], [], []
+            part_of_later = _tag_part(meta["tag"][later].copy(), parts)
+            order = np.argsort(part_of_later, kind="stable")
+            done = meta[later][order]
+            for x, y in zip(*_cuts(part_of_later[order]), strict=True):
+                kinds.append(1)
+                numbers.append(int(part_of_later[order[x]]))
+                rows.append(done[x:y].tobytes())
             order = np.flatnonzero(~later)
             order = order[np.argsort(part[order], kind="stable")]
-            cut = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            rows = []
-            for a, z in zip(cut, np.r_[cut[1:], len(order)], strict=True):
-                own = order[a:z]
-                rows.append(len(own).to_bytes(4, "little") + meta[own].tobytes() + b"".join([texts[k] for k in own]))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array(part[order][cut], pa.int32()), pa.array(rows, pa.binary())], names=["kind", "part", "data"])
+            for x, y in zip(*_cuts(part[order]), strict=True):
+                own = order[x:y]
+                kinds.append(0)
+                numbers.append(int(part[own[0]]))
+                rows.append(len(own).to_bytes(4, "little") + meta[own].tobytes() + b"".join([texts[k] for k in own.tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(rows, pa.binary())], names=["kind", "part", "data"])
 
     return emit
 
@@ -342,10 +391,11 @@ def _cut(batches: Iterator) -> Iterator:
     """Merge a document's spans and cut them out."""
     for batch in batches_of_rows(batches):
         sizes, spans, kept = [], [], []
-        for text, chunk, fine in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-            raw = (text.as_py() or "").encode()
+        for own, text, chunk, fine in zip(*(batch.column(k) for k in (0, 3, 4, 5)), strict=True):
+            raw, own = text.as_py(), own.as_py()
             sizes.append(len(raw))
-            pairs = [(x["start"], x["stop"] + LENGTH - 1) for x in chunk.as_py() or []] + [tuple(p) for x in fine.as_py() or [] for p in np.frombuffer(x, "<u4").reshape(-1, 2).tolist()]
+            pairs = [(x["start"], x["stop"] + LENGTH - 1) for x in chunk.as_py() or [] if x["ord"] == own]
+            pairs += [tuple(p) for x in fine.as_py() or [] if x["ord"] == own for p in np.frombuffer(x["spans"], "<u4").reshape(-1, 2).tolist()]
             merged: list[list[int]] = []
             for a, z in sorted(pairs):
                 if merged and a <= merged[-1][1]:
@@ -359,7 +409,7 @@ def _cut(batches: Iterator) -> Iterator:
                 at = z
             kept.append(b"".join([*parts, raw[at:]]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,28 +422,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = ready(docs.sparkSession)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = text_of(text_col)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.xxhash64(text, F.col(id_col)).alias("tag"), text.alias("text"), F.col(id_col).alias("id"))
-    on = ["ord", "tag"]
+    raw = text_of(text_col).cast("binary")
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    # A row is known by the hash of its id and text; what comes back to it also names its id.
+    rows = docs.select(ident.alias("ord"), F.xxhash64(ident, raw).alias("tag"), F.col(id_col).alias("id"), raw.alias("text"))
 
-    cut = rows.select("ord", "tag", "text").mapInArrow(_chunk_rows, "h1 long, h2 long, ord long, tag long, start int, stop int")
+    cut = checkpointed(rows.mapInArrow(_chunk_rows, "h1 long, h2 long, ord long, tag long, start int, stop int"))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
     salted = cut.groupBy("h1", "h2", "salt").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
     firsts = salted.groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_set("salt").alias("salts")).where("least < most")
     firsts = firsts.select("h1", "h2", "least", F.explode("salts").alias("salt"))
     again = cut.join(firsts, ["h1", "h2", "salt"]).where("ord > least")
-    settled = again.groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("chunks"))
+    settled = again.groupBy("tag").agg(F.collect_list(F.struct("ord", "start", "stop")).alias("chunks"))
 
-    with_chunks = rows.join(settled, on, "left")
-    asked = with_chunks.select("ord", "tag", "text", "chunks").mapInArrow(_anchor_rows(parts), "kind int, part int, data binary")
-    shared = asked.groupBy("part").applyInArrow(_shared_anchors, "ord long, tag long, places binary")
-    places = shared.groupBy("ord", "tag").agg(F.collect_list("places").alias("places"))
+    asked = rows.join(settled, "tag", "left").select("ord", "tag", "id", "text", "chunks").mapInArrow(_anchor_rows(parts), "kind int, part int, data binary")
+    shared = asked.groupBy("part").applyInArrow(_shared_anchors, "tag long, hashes binary")
+    hashes = shared.groupBy("tag").agg(F.collect_list("hashes").alias("hashes"))
 
-    sent = rows.join(places, on, "left").select("ord", "tag", "text", "places").mapInArrow(_run_rows(parts), "kind int, part int, data binary")
+    sent = rows.join(hashes, "tag", "left").select("ord", "tag", "id", "text", "hashes").mapInArrow(_run_rows(parts), "kind int, part int, data binary")
     fine = sent.groupBy("part").applyInArrow(_resolved, "ord long, tag long, spans binary")
-    spans = fine.groupBy("ord", "tag").agg(F.collect_list("spans").alias("fine"))
+    spans = fine.groupBy("tag").agg(F.collect_list(F.struct("ord", "spans")).alias("fine"))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = rows.join(settled, on, "left").join(spans, on, "left").select("id", "text", "chunks", "fine")
+    whole = rows.join(settled, "tag", "left").join(spans, "tag", "left").select("ord", "tag", "id", "text", "chunks", "fine")
     out = whole.mapInArrow(_cut, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
