@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import WORD, n_words
 
 BLOCK_WORDS = 8
-DOCS_PER_SHARD = 1_000_000
+DOCS_PER_SHARD = 50_000
 MIN_SHARDS = 64
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -71,8 +71,8 @@ def seats(parties: DataFrame, group: list[str], party: list[str], votes: str, to
     return ranked.groupBy(*keep, "_low").agg(won.alias("_won")).select(*keep, (F.col("_low") + F.col("_won")).cast("long").alias("seats"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS) -> DataFrame:
-    """The mix, one row per input row: ``row`` (all input columns), ``size``, ``source_size``, ``target``, ``taken``, ``rounds``, ``start``, ``stop``.
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS, keep: list[str] | None = None) -> DataFrame:
+    """The mix, one row per input row: ``row`` (the columns ``keep`` of the input, all by default; only they are shuffled), ``size``, ``source_size``, ``target``, ``taken``, ``rounds``, ``start``, ``stop``.
 
     A row is taken ``rounds`` times whole and, once more, its words ``start`` to
     ``stop`` (empty if equal).  No row is taken more than ``cap`` times.  Null
@@ -81,7 +81,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     table gives an empty result.
     """
     shards = max(MIN_SHARDS, -(-docs.count() // docs_per_shard))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("mark"), F.col(f"`{id_col}`").alias("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), n_words(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("mark"), F.col(f"`{id_col}`").alias("id"))
     rows = rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
     # Names without nulls, so that plain equality joins carry the null source.
     rows = rows.withColumn("name", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))

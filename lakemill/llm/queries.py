@@ -57,7 +57,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.plan(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    rows = mixing.plan(_documents(spark, sf_dir), keep=["doc_id"])
     return rows.select("row.doc_id", "size", "source_size", "target", "taken", "rounds", "stop")
 
 
