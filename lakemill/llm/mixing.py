@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import WORD, n_words
+from lakemill.llm.common import WORD, checkpointed, n_words
 
 BLOCK_WORDS = 8
 DOCS_PER_SHARD = 50_000
@@ -86,7 +86,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # Names without nulls, so that plain equality joins carry the null source.
     rows = rows.withColumn("name", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
 
-    parts = rows.groupBy("name", "shard").agg(F.sum("size").alias("words"))
+    parts = checkpointed(rows.groupBy("name", "shard").agg(F.sum("size").alias("words")))  # used twice, but counted once
     sizes = parts.groupBy("name").agg(F.sum("words").alias("source_size"))
     goals = targets(sizes.withColumnRenamed("name", "source"), weights, cap).withColumnRenamed("source", "name")
     all_seats = F.round(F.col("_all") / block_words)

@@ -62,9 +62,13 @@ def fingerprints(spark: SparkSession, size: int = SHINGLE):
     return prints
 
 
-def bands(bits: list[int], n: int) -> list[list[int]]:
-    """Deal a list of bit places into n runs of nearly equal length."""
-    return [list(map(int, x)) for x in np.array_split(np.array(bits, dtype=np.int64), n)]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def band_masks(level: int, n: int) -> list[int]:
+    """Deal the bits out to ``n`` bands by the ``level``-th digit of their place, written to base ``n``."""
+    return [sum(1 << i for i in range(BITS) if i // n**level % n == k) for k in range(n)]
 
 
 def trie_links(prints: np.ndarray, depth_bits: int = BITS, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -160,36 +164,33 @@ def _joined(budget: int):
 
 
 def near_links(prints: DataFrame, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct ``fp`` within ``budget`` bits."""
-
-    def dealt(rows: DataFrame, places: list[int]) -> list[tuple[DataFrame, list[int]]]:
-        out = []
-        for band in bands(places, budget + 1):
-            mask = sum(1 << p for p in band)
-            mask -= (1 << 64) if mask >> 63 else 0
-            # No 64-bit hash collision can lose a link: equal values meet in any case, and links are checked on all bits.
-            out.append((rows.withColumn("part", F.xxhash64("part", F.lit(mask), F.col("fp").bitwiseAND(F.lit(mask)))), [p for p in places if p not in band]))
-        return out
-
-    level = [(prints.select("fp", F.lit(0).cast("long").alias("part")), list(range(BITS)))]
+    """Links (a, b) whose components are those of all pairs of distinct ``fp`` within ``budget`` bits.
+
+    After all levels a part's fingerprints differ in a few bits only (13 at a
+    budget of 2), so that no part can be large then.
+    """
+    n_bands = budget + 1
+    if n_bands == 1:
+        return prints.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    levels = next(k for k in range(1, BITS + 1) if n_bands**k >= BITS)
+    rows = prints.select("fp", F.lit(0).cast("long").alias("part"), F.lit(-1).cast("long").alias("left"))
     found: DataFrame | None = None
-    while level:
-        parts = [x for rows, places in level for x in dealt(rows, places)]
-        all_rows = None
-        for i, (rows, _) in enumerate(parts):
-            rows = rows.select("part", "fp", F.lit(i).alias("i"))
-            all_rows = rows if all_rows is None else all_rows.unionByName(rows)
-        n = F.count("*").over(Window.partitionBy("part"))
-        sized = all_rows.withColumn("n", n).where("n > 1")
-        deep = len(parts[0][1]) > 2 * (budget + 1)
-        large = checkpointed(sized.where(F.col("n") > part_rows).drop("n")) if deep else None
-        small = sized.where(F.col("n") <= part_rows) if deep else sized
-        links = small.select("part", "fp").sortWithinPartitions("part").mapInArrow(_joined(budget), "a long, b long")
+    for level in range(levels):
+        dealt = F.array(*[F.lit(_signed(m)).cast("long") for m in band_masks(level, n_bands)])
+        rows = rows.withColumn("mask", F.explode(dealt)).withColumn("mask", F.col("left").bitwiseAND(F.col("mask")))
+        # A collision of this hash only brings strangers together; links are checked on all bits.
+        rows = rows.select("fp", F.xxhash64("part", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("part"), F.col("left").bitwiseAND(F.bitwise_not("mask")).alias("left"))
+        # Counts combine before they are shuffled; the join that brings them back can be split where a part is large.
+        counts = checkpointed(rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))
+        sized = rows.join(counts, "part")
+        last = level + 1 == levels
+        small = sized if last else sized.where(F.col("n") <= part_rows)
+        # Dealt out anew, as a split join does not keep a part together.
+        links = small.select("part", "fp").repartition("part").sortWithinPartitions("part").mapInArrow(_joined(budget), "a long, b long")
         found = links if found is None else found.unionByName(links)
-        level = []
-        if large is not None:
-            some = {r["i"] for r in large.select("i").distinct().collect()}  # at most the number of bands
-            level = [(large.where(F.col("i") == i).select("fp", "part"), parts[i][1]) for i in sorted(some)]
+        if last or not counts.where(F.col("n") > part_rows).limit(1).count():
+            break
+        rows = checkpointed(sized.where(F.col("n") > part_rows).select("fp", "part", "left"))
     return found
 
 
