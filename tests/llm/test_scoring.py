@@ -30,7 +30,7 @@ def test_estimation_finds_the_accurate_rules():
     for _ in range(5000):
         good = rng.random() < 0.8
         right = [rng.random() < p for p in (0.95, 0.95, 0.9, 0.6)]
-        counts["".join(("+" if g == good else "-") if rng.random() < 0.7 else "0" for g in [good if r else not good for r in right])] += 1
+        counts["".join(("+" if g else "-") if rng.random() < 0.7 else "0" for g in [good if r else not good for r in right])] += 1
     model = rules.fit(dict(counts))
     acc = rules.accuracies(model)
     assert abs(model[0] - 0.8) < 0.05 and acc[0] > 0.9 and acc[3] < 0.8
