@@ -31,24 +31,45 @@ BITS, BUDGET, SHINGLE, PART_ROWS = 64, 2, 3, 20_000
 SEED = 42
 #: Trie nodes with up to so many pairs are compared directly.
 LEAF_PAIRS = 4096
+#: For similarity of 0.8 or more: words of a wide fingerprint, its budget, and what deals it out to parts (see wide_links).
+WIDE_WORDS, WIDE_BUDGET, AGREE, CAUGHT, LEAST_KEY, AGAIN_KEY, AGAIN_TABLES, AGAIN_LEVELS = 4, 48, 0.85, 0.975, 12, 6, 8, 4
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles, repeats included; 0 without words."""
+def _shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of the text's word shingles, repeats included; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(words), max(1, len(words) - size + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
-    stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1)
+    starts, stops = (ends - lengths - 1)[:n], ends[min(size, len(words)) - 1 :] - 1
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), "<u8", n)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + 8192)], stops[at:], strict=False)], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 8192):
+        total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles, repeats included; 0 without words."""
+    return _majority(_shingle_hashes(text, size))
+
+
+def wide_fingerprint(text: str, size: int, words: int = WIDE_WORDS) -> list[int]:
+    """Several independent fingerprints; the first is :func:`fingerprint`."""
+    h, out = _shingle_hashes(text, size), []
+    for k in range(words):
+        with np.errstate(over="ignore"):
+            g = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(_majority(h if k == 0 else g ^ (g >> np.uint64(32))))
+    return out
 
 
 def fingerprints(spark: SparkSession, size: int = SHINGLE):
@@ -62,6 +83,19 @@ def fingerprints(spark: SparkSession, size: int = SHINGLE):
     return prints
 
 
+def wide_fingerprints(spark: SparkSession, size: int):
+    """A column function from text to a struct w0, w1, ... of signed longs."""
+    ready(spark)
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+
+    @F.arrow_udf(", ".join(f"{n} long" for n in names))
+    def prints(texts: pa.Array) -> pa.Array:
+        rows = np.array([wide_fingerprint(x.as_py() or "", size) for x in texts], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(rows[:, k].copy(), pa.int64()) for k in range(WIDE_WORDS)], names=names)
+
+    return prints
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -71,13 +105,14 @@ def band_masks(level: int, n: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if i // n**level % n == k) for k in range(n)]
 
 
-def trie_links(prints: np.ndarray, depth_bits: int = BITS, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(prints: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of a spanning forest over distinct sorted fingerprints within ``budget`` bits.
 
-    A node is a run of the sorted array with one prefix; pairs of nodes go down
-    together on a stack.
+    ``prints`` has a row for each, of one 64-bit word or more.  A node is a run of
+    the sorted rows with one prefix; pairs of nodes go down together on a stack.
     """
-    parent = np.arange(len(prints))
+    prints = prints.reshape(len(prints), -1)
+    total, parent = BITS * prints.shape[1], np.arange(len(prints))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -94,7 +129,7 @@ def trie_links(prints: np.ndarray, depth_bits: int = BITS, budget: int = BUDGET)
             found_a.append(x)
             found_b.append(y)
 
-    stack = [(0, len(prints), 0, len(prints), depth_bits, 0)]
+    stack = [(0, len(prints), 0, len(prints), total, 0)]
     while stack:
         a0, a1, b0, b1, left, spent = stack.pop()
         same = a0 == b0
@@ -107,15 +142,23 @@ def trie_links(prints: np.ndarray, depth_bits: int = BITS, budget: int = BUDGET)
                 link(a0, y)
             continue
         if (a1 - a0) * (b1 - b0) <= LEAF_PAIRS:
-            apart = np.bitwise_count(prints[a0:a1, None] ^ prints[None, b0:b1])
-            for x, y in zip(*np.nonzero(apart <= budget), strict=True):
-                if not same or x < y:
-                    link(a0 + int(x), b0 + int(y))
+            if len({root(x) for x in (*range(a0, a1), *range(b0, b1))}) == 1:
+                continue
+            apart = np.bitwise_count(prints[a0:a1, None] ^ prints[None, b0:b1]).sum(axis=2, dtype=np.int64)
+            xs, ys = np.nonzero(apart <= budget)
+            if same:
+                xs, ys = xs[xs < ys], ys[xs < ys]
+            if len(xs) > 4 * (a1 - a0 + b1 - b0):  # nearly all link: each to its first neighbour, and on from there
+                roots = np.array([root(x) for x in range(a0, a1)]), np.array([root(y) for y in range(b0, b1)])
+                pairs = np.unique(np.stack([roots[0][xs], roots[1][ys]]), axis=1, return_index=True)[1]
+                xs, ys = xs[pairs], ys[pairs]
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                link(a0 + x, b0 + y)
             continue
-        bit = np.uint64(1) << np.uint64(left - 1)
+        word, bit = (total - left) // BITS, np.uint64(1) << np.uint64((left - 1) % BITS)
 
-        def middle(lo: int, hi: int, bit: np.uint64 = bit) -> int:
-            return lo + int(np.searchsorted((prints[lo:hi] & bit) > 0, True))
+        def middle(lo: int, hi: int, word: int = word, bit: np.uint64 = bit) -> int:
+            return lo + int(np.searchsorted((prints[lo:hi, word] & bit) > 0, True))
 
         am, bm = middle(a0, a1), middle(b0, b1)
         stack += [(a0, am, b0, bm, left - 1, spent), (am, a1, bm, b1, left - 1, spent)]
@@ -127,37 +170,41 @@ def trie_links(prints: np.ndarray, depth_bits: int = BITS, budget: int = BUDGET)
 
 
 def _runs(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (part, fingerprint) from sorted batches, cut so that no part is split between two."""
+    """(part, words of the fingerprints) from sorted batches, cut so that no part is split between two."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        part = batch.column(0).to_numpy()
+        words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
         last = int(np.searchsorted(part, part[-1]))  # parts before the last one are complete
         if last:
-            held.append((part[:last], fp[:last]))
+            held.append((part[:last], words[:last]))
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
             held = []
-        held.append((part[last:], fp[last:]))
+        held.append((part[last:], words[last:]))
     if held:
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def _joined(budget: int):
+    """Links by the first words, from rows (part, word, ...) sorted by part."""
+
     def links(batches):
-        for part, fp in _runs(batches):
+        for part, words in _runs(batches):
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             sizes = np.diff(np.r_[edges, len(part)])
             a, b = [], []
             pair = edges[sizes == 2]  # the commonest part by far
-            near = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= budget]
-            a.append(fp[near])
-            b.append(fp[near + 1])
+            near = pair[np.bitwise_count(words[pair] ^ words[pair + 1]).sum(axis=1, dtype=np.int64) <= budget]
+            a.append(words[near, 0])
+            b.append(words[near + 1, 0])
             for at, n in zip(edges[sizes > 2], sizes[sizes > 2], strict=True):
-                run = np.sort(fp[at : at + n])
-                x, y = trie_links(run, BITS, budget)
-                a.append(run[x])
-                b.append(run[y])
+                run = words[at : at + n]
+                run = run[np.lexsort(run.T[::-1])]
+                x, y = trie_links(run, budget)
+                a.append(run[x, 0])
+                b.append(run[y, 0])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return links
@@ -194,6 +241,47 @@ def near_links(prints: DataFrame, budget: int = BUDGET, part_rows: int = PART_RO
     return found
 
 
+def _key_masks(tables: int, bits: int, seed: int) -> list[list[int]]:
+    """For each table, masks of ``bits`` bits drawn from all words."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out = []
+    for _ in range(tables):
+        places = rng.choice(BITS * WIDE_WORDS, bits, replace=False).tolist()
+        out.append([_signed(sum(1 << p % BITS for p in places if p // BITS == w)) for w in range(WIDE_WORDS)])
+    return out
+
+
+def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
+    """Links (a, b) between wide fingerprints (fp, w1, w2, w3) within ``budget`` bits, for distances that bands can't cover.
+
+    At a budget of dozens of bits no band has to agree.  Instead, tables deal the
+    fingerprints out by some bits drawn at random; texts of similarity 0.8 agree in
+    a bit with probability AGREE, and there are enough tables to bring CAUGHT of
+    them together.  Within a part the trie join is exact.  A part above
+    ``part_rows`` is dealt out again by further bits in further tables.
+    """
+    n = prints.count()
+    bits = max(LEAST_KEY, n.bit_length() - 6)
+    enough = lambda k: int(np.ceil(np.log(1 - CAUGHT) / np.log(1 - AGREE**k)))
+    words = ["fp", *(f"w{k}" for k in range(1, WIDE_WORDS))]
+    rows = prints.select(*words, F.lit(0).cast("long").alias("part"))
+    found: DataFrame | None = None
+    for level in range(AGAIN_LEVELS):
+        masks = _key_masks(AGAIN_TABLES if level else enough(bits), AGAIN_KEY if level else bits, level)
+        keys = [F.xxhash64("part", F.lit(k), *[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, mask, strict=True)]) for k, mask in enumerate(masks)]
+        rows = rows.select(*words, F.explode(F.array(*keys)).alias("part"))
+        counts = checkpointed(rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))
+        last = level + 1 == AGAIN_LEVELS or not counts.where(F.col("n") > part_rows).limit(1).count()
+        sized = rows.join(counts, "part")
+        small = sized if last else sized.where(F.col("n") <= part_rows)
+        links = small.select("part", *words).repartition("part").sortWithinPartitions("part").mapInArrow(_joined(budget), "a long, b long")
+        found = links if found is None else found.unionByName(links)
+        if last:
+            break
+        rows = checkpointed(sized.where(F.col("n") > part_rows).select(*words, "part"))
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, root being the least node of its component.
 
@@ -218,10 +306,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _groups(marked: DataFrame, id_name: str, budget: int, part_rows: int) -> DataFrame:
+def _groups(marked: DataFrame, id_name: str, join) -> DataFrame:
     """(fp, component_id, keeper): for each fingerprint its component's least id and the fingerprint that has it."""
-    prints = checkpointed(marked.groupBy("fp").agg(F.min(id_name).alias("least")))
-    roots = components(near_links(prints, budget, part_rows))
+    more = [c for c in marked.columns if c not in ("fp", id_name)]
+    first = [F.min(F.struct(*more)).alias("more")] if more else []
+    prints = checkpointed(marked.groupBy("fp").agg(F.min(id_name).alias("least"), *first))
+    roots = components(join(prints.select("fp", "more.*") if more else prints))
     labelled = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("best"))
     return labelled.join(best, "root").select("fp", F.col("best.least").alias("component_id"), F.col("best.fp").alias("keeper"))
@@ -237,21 +327,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = fingerprints(docs.sparkSession, size)
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), prints(text_of(text_col)).alias("fp")))
-    groups = _groups(marked, "id", budget, part_rows)
+    groups = _groups(marked, "id", lambda prints: near_links(prints, budget, part_rows))
     out: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), out.alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, size: int = SHINGLE, part_rows: int = PART_ROWS) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, budget: int = BUDGET, wide: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns.
 
-    If rows share that id and its fingerprint, the first by text stays.
+    ``wide`` joins fingerprints of 256 bits at WIDE_BUDGET, which finds texts of
+    shingle similarity 0.8 or more; otherwise ``budget`` bits of 64 may differ.  If
+    rows share that id and its fingerprint, the first by text stays.
     """
-    prints = fingerprints(docs.sparkSession, size)(text_of(text_col))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), prints.alias("fp"))
-    slim = checkpointed(marked.select("id", "fp"))
-    keep = _groups(slim, "id", budget, part_rows).where(F.col("keeper") == F.col("fp")).select(F.col("fp").alias("kfp"), F.col("component_id").alias("kid"))
+    text = text_of(text_col)
+    # Marked as nondeterministic only so that the optimizer does not compute it once more for a filter.
+    prints = (wide_fingerprints if wide else fingerprints)(docs.sparkSession, size).asNondeterministic()(text)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), prints.alias("print"))
+    fp = F.col("print.w0") if wide else F.col("print")
+    more = [F.col(f"print.w{k}") for k in range(1, WIDE_WORDS)] if wide else []
+    slim = checkpointed(marked.select("id", fp.alias("fp"), *more))
+    groups = _groups(slim, "id", (lambda p: wide_links(p, part_rows=part_rows)) if wide else (lambda p: near_links(p, budget, part_rows)))
+    keep = checkpointed(groups.where(F.col("keeper") == F.col("fp")).select(F.col("fp").alias("kfp"), F.col("component_id").alias("kid")))
+    rows = marked.select("row", "id", fp.alias("fp"))
     same = (F.col("fp") == F.col("kfp")) & F.col("id").eqNullSafe(F.col("kid"))
-    rows = marked.join(keep, same, "left_semi")
+    rows = rows.join(keep, same, "left_semi")
     first = F.row_number().over(Window.partitionBy("fp", "id").orderBy(F.col(f"row.`{text_col}`").asc_nulls_last()))
     return rows.withColumn("place", first).where("place = 1").select("row.*")

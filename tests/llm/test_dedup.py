@@ -138,6 +138,26 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
+def test_wide_survivors(spark, awkward, empty):
+    """Near copies of similarity 0.8 or more go, other texts stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, near = [], 0
+    for k in range(120):
+        words = [word() for _ in range(rng.randint(80, 400))]
+        rows.append((k * 2, " ".join(words)))
+        if k % 2:
+            rows.append((k * 2 + 1, " ".join(words[: len(words) * 19 // 20])))
+            near += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part_rows in (20_000, 3):
+        left = {r["doc_id"] for r in simhash.survivors(df, size=5, wide=True, part_rows=part_rows).collect()}
+        assert all(k * 2 in left for k in range(120))
+        assert sum(i % 2 for i in left) <= 0.05 * near
+    assert simhash.survivors(awkward, size=5, wide=True).columns == awkward.columns
+    assert simhash.survivors(empty, size=5, wide=True).count() == 0
+
+
 def test_substrings(awkward, documents, empty):
     for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
