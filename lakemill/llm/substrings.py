@@ -39,8 +39,9 @@ WINDOW = LENGTH - ANCHOR + 1
 BLOCK = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
-#: What stands before the bytes of a run of strings that share an anchor.
-RUN = np.dtype([("ord", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("size", "<u4")])
+#: What stands before the bytes of a run of strings that share an anchor; runs of other shares of a part can't match.
+RUN = np.dtype([("ord", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("size", "<u2"), ("share", "<u2")])
+SHARES = 16
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -267,6 +268,7 @@ def _run_rows(parts: int):
                 meta = np.zeros(len(text), RUN)
                 meta["ord"], meta["tag"] = _long(part.column(0))[text], _long(part.column(1))[text]
                 meta["at"], meta["size"] = first - offsets[text], last - first + LENGTH
+                meta["share"] = (h[keep] >> _U(16)) % _U(SHARES)
                 raw = b.tobytes()
                 texts += [raw[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
                 hs.append(h[keep])
@@ -291,7 +293,7 @@ def _run_rows(parts: int):
                 numbers.append(int(part_of_later[order[x]]))
                 rows.append(done[x:y].tobytes())
             order = np.flatnonzero(~later)
-            order = order[np.argsort(part[order], kind="stable")]
+            order = order[np.lexsort((meta["share"][order], part[order]))]
             for x, y in zip(*_cuts(part[order]), strict=True):
                 own = order[x:y]
                 kinds.append(0)
@@ -342,43 +344,49 @@ def refine(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return live[keep], last[keep]
 
 
+def _matched(meta: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The strings of these runs that also start in an earlier document, as spans of bytes."""
+    begin = np.cumsum(meta["size"].astype(np.int64)) - meta["size"]
+    count = meta["size"].astype(np.int64) - LENGTH + 1
+    run = np.repeat(np.arange(len(meta)), count)
+    starts = begin[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    live, bucket = refine(text, starts)
+    if not len(live):
+        return np.zeros(0, RUN)
+    who = np.searchsorted(begin, live, "right") - 1
+    ords = meta["ord"][who]
+    order = np.lexsort((ords, bucket))
+    first, _ = _cuts(bucket[order])
+    least = np.zeros(int(bucket.max()) + 1, np.int64)
+    least[bucket[order][first]] = ords[order][first]
+    gone = np.sort(live[ords > least[bucket]])
+    if not len(gone):
+        return np.zeros(0, RUN)
+    who = np.searchsorted(begin, gone, "right") - 1
+    cut = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (who[1:] != who[:-1])])
+    found = np.zeros(len(cut), RUN)
+    found["ord"], found["tag"] = meta["ord"][who[cut]], meta["tag"][who[cut]]
+    found["at"], found["size"] = meta["at"][who[cut]] + (gone[cut] - begin[who[cut]]), np.diff(np.r_[cut, len(gone)]) + LENGTH - 1
+    return found
+
+
 def _resolved(table: pa.Table) -> pa.Table:
-    """The strings of a part that also start in an earlier document, as spans of bytes by document."""
-    metas, texts, done = [], [], []
-    for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
+    """The strings of a part that also start in an earlier document, as spans of bytes by document; one share after another."""
+    shares: list[list] = [[] for _ in range(SHARES)]
+    spans = []
+    for chunk in zip(table["kind"], table["data"], strict=True):
+        kind, data = chunk[0].as_py(), chunk[1].as_buffer()
         if kind == 1:
-            done.append(np.frombuffer(data, RUN))
-        else:
-            n = int.from_bytes(data[:4], "little")
-            metas.append(np.frombuffer(data, RUN, n, 4))
-            texts.append(np.frombuffer(data, np.uint8, offset=4 + n * RUN.itemsize))
-    spans = [np.concatenate(done)] if done else []
-    if metas:
-        meta, text = np.concatenate(metas), np.concatenate(texts)
-        begin = np.cumsum(meta["size"].astype(np.int64)) - meta["size"]
-        count = meta["size"].astype(np.int64) - LENGTH + 1
-        run = np.repeat(np.arange(len(meta)), count)
-        inner = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        owner = np.zeros(len(text) + 1, np.int64)
-        starts = begin[run] + inner
-        owner[starts] = run
-        live, bucket = refine(text, starts)
-        if len(live):
-            ords = meta["ord"][owner[live]]
-            order = np.lexsort((ords, bucket))
-            first = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-            least = np.zeros(int(bucket.max()) + 1, np.int64)
-            least[bucket[order][first]] = ords[order][first]
-            gone = live[ords > least[bucket]]
-            gone.sort()
-            who = owner[gone]
-            if len(gone):
-                cut = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (who[1:] != who[:-1])])
-                size = np.diff(np.r_[cut, len(gone)])
-                found = np.zeros(len(cut), RUN)
-                found["ord"], found["tag"] = meta["ord"][who[cut]], meta["tag"][who[cut]]
-                found["at"], found["size"] = meta["at"][who[cut]] + (gone[cut] - begin[who[cut]]), size + LENGTH - 1
-                spans.append(found)
+            spans.append(np.frombuffer(data, RUN))
+            continue
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        meta, text = np.frombuffer(data, RUN, n, 4), np.frombuffer(data, np.uint8, offset=4 + n * RUN.itemsize)
+        end = np.cumsum(meta["size"].astype(np.int64))
+        for a, z in zip(*_cuts(meta["share"]), strict=True):
+            shares[meta["share"][a]].append((meta[a:z], text[end[a] - int(meta["size"][a]) : end[z - 1]]))
+    for share in shares:
+        if share:
+            spans.append(_matched(*(np.concatenate(x) for x in zip(*share, strict=True))))
     rows = np.concatenate(spans) if spans else np.zeros(0, RUN)
     rows = rows[np.lexsort((rows["at"], rows["tag"], rows["ord"]))]
     cut = np.flatnonzero(np.r_[True, (rows["ord"][1:] != rows["ord"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])]) if len(rows) else np.zeros(0, np.int64)
