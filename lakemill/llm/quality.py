@@ -92,8 +92,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     idf[BUCKETS:] = SHAPE_WEIGHT
     x *= idf
     x = unit(x)
-    _, vectors_ = np.linalg.eigh(x.T @ x)
-    space = vectors_[:, ::-1][:, :LATENT]
+    # Leading eigenvectors of the Gram matrix by subspace iteration from a fixed start.
+    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(1)).normal(size=(WIDTH, LATENT + 32)))[0]
+    for _ in range(12):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    inner = x @ basis
+    space = basis @ np.linalg.eigh(inner.T @ inner)[1][:, ::-1][:, :LATENT]
     return {"space": (idf[:, None] * space).astype(np.float32), "known": unit(x @ space).astype(np.float32), "labels": np.array([r["label"] for r in got], np.float32)}
 
 
