@@ -17,7 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 PAIRS: dict[str, tuple[str, str]] = {
     # Scan, filter, projection, literals
     "scan_project": ("SELECT l_orderkey k, l_quantity q FROM lineitem WHERE l_shipdate < '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07", "SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07"),
-    "dual": ("SELECT 1 + 1 AS a, 'x' AS b, NULL AS c, TRUE AS d FROM dual", "SELECT 2 AS a, 'x' AS b, NULL AS c, true AS d"),
+    "dual": ("SELECT 1 + 1 AS a, 'x' AS b, CAST(NULL AS SIGNED) AS c, TRUE AS d FROM dual", "SELECT 2 AS a, 'x' AS b, CAST(NULL AS BIGINT) AS c, true AS d"),
     "pred_in_like": ("SELECT p_partkey, p_name FROM part WHERE p_size IN (1, 5, 9) AND p_name NOT LIKE '%z%' AND p_brand LIKE 'Brand#_%'", "SELECT p_partkey, p_name FROM part WHERE p_size IN (1, 5, 9) AND p_name NOT LIKE '%z%' AND p_brand LIKE 'Brand#_%'"),
     "pred_xor_is": ("SELECT o_orderkey FROM orders WHERE (o_totalprice > 100000 XOR o_orderstatus = 'F') AND (o_custkey = 1) IS FALSE AND (o_custkey > 5) IS NOT UNKNOWN", "SELECT o_orderkey FROM orders WHERE ((o_totalprice > 100000) <> (o_orderstatus = 'F')) AND o_custkey <> 1 AND o_custkey IS NOT NULL"),
     "pred_null_logic": ("SELECT count(*) n, count(nullif(p_size, 1)) m, sum((nullif(p_size, 1) IN (2, NULL)) IS UNKNOWN) u FROM part", "SELECT count(*) AS n, count(nullif(p_size, 1)) AS m, sum(CASE WHEN (nullif(p_size, 1) IN (2, NULL)) IS NULL THEN 1 ELSE 0 END) AS u FROM part"),
