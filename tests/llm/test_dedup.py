@@ -158,6 +158,52 @@ def test_wide_survivors(spark, awkward, empty):
     assert simhash.survivors(empty, size=5, wide=True).count() == 0
 
 
+def brute_alike(rows, size=5):
+    """Root of each text: components of all pairs of shingle sets of Jaccard similarity 0.8 or more."""
+    sets = {i: set(simhash._shingle_hashes(t, size).tolist()) for i, t in rows}
+    root = dict.fromkeys(sets)
+    order = sorted(sets)
+    for i in order:
+        root[i] = i
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    return root
+
+
+def planted(rng, low, high, families, n=120):
+    """Pairs (2k, 2k + 1) of texts whose five-word shingle similarity is from low to high."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(families):
+        want, base = rng.uniform(low, high), [word() for _ in range(n + rng.randint(0, 2 * n))]
+        sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        alike = lambda w: len(sets(w) & sets(base)) / len(sets(w) | sets(base))  # noqa: E731, B023
+        other = list(base)
+        while alike(other) > want:
+            before, other = other, list(other)
+            other[rng.randrange(len(other))] = word()
+        if alike(other) < low:  # one word too many
+            other = before
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def survived(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r["doc_id"] for r in simhash.survivors(df, size=5, wide=True, **how).collect()}
+
+
+def test_wide_finds_all(spark):
+    """Each near copy of similarity 0.80 to 0.85 goes."""
+    rows = planted(random.Random(11), 0.80, 0.85, 300)
+    assert {i for i, r in brute_alike(rows).items() if i == r} == set(range(0, 600, 2))
+    assert survived(spark, rows) == set(range(0, 600, 2))
+
+
 def test_substrings(awkward, documents, empty):
     for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
