@@ -204,6 +204,16 @@ def test_wide_finds_all(spark):
     assert survived(spark, rows) == set(range(0, 600, 2))
 
 
+def test_wide_leaves_others(spark):
+    """Texts of similarity 0.60 to 0.79 stay, also as members of a large family around one template."""
+    rng = random.Random(12)
+    rows = planted(rng, 0.60, 0.79, 150)
+    template = [f"t{k}" for k in range(100)]
+    rows += [(1000 + k, " ".join([*template, *(f"u{k}x{j}" for j in range(20))])) for k in range(60)]
+    assert all(i == r for i, r in brute_alike(rows).items())
+    assert survived(spark, rows) == {i for i, _ in rows}
+
+
 def test_substrings(awkward, documents, empty):
     for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
