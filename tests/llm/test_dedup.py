@@ -214,6 +214,22 @@ def test_wide_leaves_others(spark):
     assert survived(spark, rows) == {i for i, _ in rows}
 
 
+@pytest.mark.parametrize("part_rows", [20_000, 3])
+def test_wide_crowded(spark, part_rows):
+    """Families of more copies than a block may have are joined whole: the survivors are those of brute force."""
+    rng = random.Random(13)
+    rows = []
+    for family in range(4):
+        base = [f"w{family}x{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(words[: rng.randint(85, 100)])))
+    rng.shuffle(rows)
+    assert survived(spark, rows, part_rows=part_rows) == {i for i, r in brute_alike(rows).items() if i == r}
+
+
 def test_substrings(awkward, documents, empty):
     for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
