@@ -230,6 +230,15 @@ def test_wide_crowded(spark, part_rows):
     assert survived(spark, rows, part_rows=part_rows) == {i for i, r in brute_alike(rows).items() if i == r}
 
 
+def test_wide_nodes(spark, monkeypatch):
+    """Texts that share 64 bits of SimHash are not joined for that; each has its own links."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join(f"v{k}" for k in range(200))), (2, " ".join([*words[:190], *(f"z{k}" for k in range(10))]))]
+    monkeypatch.setattr(simhash, "_majority", lambda hashes: 7)
+    assert survived(spark, rows) == {0, 1}
+    assert len({simhash._node(simhash._set_of(t, 5)) for _, t in rows}) == 3
+
+
 def test_substrings(awkward, documents, empty):
     for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
