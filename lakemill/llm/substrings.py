@@ -147,12 +147,18 @@ def _spans(column: pa.Array, ords: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return a[order], z[order]
 
 
-def _inside(places: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Which places lie in one of the sorted, separate spans."""
+def _all_inside(first: np.ndarray, last: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Whether all places from first to last lie in the sorted spans."""
     if not len(a):
-        return np.zeros(len(places), bool)
-    k = np.searchsorted(a, places, "right") - 1
-    return (k >= 0) & (places < z[np.maximum(k, 0)])
+        return np.zeros(len(first), bool)
+    z = np.minimum(z, np.r_[a[1:], z[-1:]])
+    total = np.r_[0, np.cumsum(z - a)]
+
+    def below(places: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(a, places, "left")
+        return total[k] - np.where(k > 0, np.maximum(z[np.maximum(k, 1) - 1] - places, 0), 0)
+
+    return below(last + 1) - below(first) == last + 1 - first
 
 
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +211,7 @@ def _anchor_rows(parts: int):
                 h, anchor, first, last = runs(b, offsets)
                 spans = _spans(part.column(4), _long(part.column(0)), offsets)
                 # A run goes on if any of its strings is not settled.
-                keep = ~(_inside(first, *spans) & _inside(last, *spans))
+                keep = ~_all_inside(first, last, *spans)
                 hs.append(h[keep])
                 tags.append(_long(part.column(1))[np.searchsorted(offsets, anchor[keep], "right") - 1])
             h, tag = np.concatenate(hs), np.concatenate(tags)

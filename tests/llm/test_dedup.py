@@ -257,6 +257,17 @@ def test_substring_edges(spark):
     assert sorted(got, key=repr) == brute_repeats(rows)
 
 
+def test_settled_runs():
+    """A run is settled only if all of its strings are, not just the first and the last."""
+    a, z = np.array([10, 30, 50]), np.array([20, 40, 60])
+    settled = lambda first, last: all(any(x <= k < y for x, y in zip(a, z, strict=True)) for k in range(first, last + 1))
+    runs = np.array([(i, j) for i in range(65) for j in range(i, min(i + 31, 65))])
+    assert substrings._all_inside(runs[:, 0], runs[:, 1], a, z).tolist() == [settled(i, j) for i, j in runs.tolist()]
+    assert not substrings._all_inside(np.array([15]), np.array([35]), a, z)[0]
+    assert substrings._all_inside(np.array([15]), np.array([35]), np.array([10, 20]), np.array([20, 40]))[0]
+    assert not substrings._all_inside(np.array([3]), np.array([3]), a[:0], z[:0])[0]
+
+
 def test_refinement():
     data = np.frombuffer(("ab" * 40 + "c" * 10 + "ab" * 40).encode(), np.uint8)
     live, bucket = substrings.refine(data, np.arange(len(data) - 49))
