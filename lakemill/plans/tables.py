@@ -131,6 +131,15 @@ class Tables:
         else:
             self._alter(name, self.read(name).withColumn(column, F.expr(default).cast(kind)), meta)
 
+    def add_unique(self, name: str, columns: list[str]) -> None:
+        """From now on rows must differ in these columns; those there are must do so already, nulls aside."""
+        meta = self.meta(name)
+        rows = self.read(name).select(*columns).dropna()
+        if rows.groupBy(*columns).count().where("count > 1").limit(1).count():
+            raise DuplicateKey(f"{name}: rows share {columns}")
+        meta.unique.append(columns)
+        self._commit(name, meta)
+
     def drop_column(self, name: str, column: str) -> None:
         meta = self.meta(name)
         if column in meta.key or any(column in u for u in meta.unique):
