@@ -150,6 +150,17 @@ def test_vector_recall(spark, data):
     assert found >= 25
 
 
+def test_vector_recall_registered(spark, data):
+    """At the parameters of vector_approx, recall at 10 over all ids divisible by 100."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    queries = df.where("vec_id % 100 = 0").collect()
+    found = 0
+    for r in queries:
+        exact = {x[0] for x in search.nearest(df, r["embedding"], 10).collect()}
+        found += len(exact & {x[0] for x in search.nearest_approx(df, r["embedding"], 10).collect()})
+    assert queries and found >= 0.9 * 10 * len(queries)
+
+
 def test_information_schema(spark):
     spark.range(1).createOrReplaceTempView("info_v")
     assert external.information_schema(spark, "schemata").count() >= 1
