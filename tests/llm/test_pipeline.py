@@ -55,3 +55,20 @@ def test_registered(spark):
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_dedup_exact(spark, data, documents):
+    """The survivors are the least ids of the components of all pairs of similarity 0.8 or more, no others."""
+    import corpus_pipeline
+
+    rows = documents.collect()
+    sets = {r["doc_id"]: set(simhash._shingle_hashes(r["text"] or "", 5).tolist()) for r in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if j < i and root[i] != root[j] and (5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)):
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents, data).collect()}
+    assert kept == {i for i, r in root.items() if i == r}
