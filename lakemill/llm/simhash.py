@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a self-join of binary tries, and near copies by shingle sets.
+"""SimHash near-duplicates by a self-join of binary tries.
 
 A fingerprint is a path of 64 bits in a binary trie.  The join walks pairs of
 nodes together: two nodes at one depth stand for two sets of fingerprints, and
@@ -16,7 +16,7 @@ report only the links of a spanning forest, at most one a row, and connected
 components follow by label exchange between tables.
 
 Near copies of a given shingle similarity differ in too many bits for bands; they
-are found by the sets themselves (see ``alike_links``), without SimHash.
+are found by fingerprints with an exact budget (see :mod:`lakemill.llm.alike`).
 """
 
 from __future__ import annotations
@@ -28,30 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batches_of_rows, checkpointed, ready, text_of
+from lakemill.llm import alike
+from lakemill.llm.alike import shingle_hashes
+from lakemill.llm.common import checkpointed, components, ready, text_of
 
 BITS, BUDGET, SHINGLE, PART_ROWS = 64, 2, 3, 20_000
 SEED = 42
 #: Trie nodes with up to so many pairs are compared directly.
 LEAF_PAIRS = 4096
-#: Shingle sets are alike from this Jaccard similarity on (see alike_links); blocks of so many nodes are compared at once, others by so many cells of a matrix.
-ALIKE, SMALL_BLOCK, LEAF_CELLS = (4, 5), 8, 1 << 19
-#: Shingles are counted by buckets, which are added up in so many blocks.
-BUCKET_BITS, BUCKET_BLOCKS = 19, 64
-
-
-def _shingle_hashes(text: str, size: int) -> np.ndarray:
-    """XXH64 of the text's word shingles, repeats included; none without words."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode().lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
-        return np.zeros(0, "<u8")
-    joined, n = b" ".join(words), max(1, len(words) - size + 1)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1)
-    starts, stops = (ends - lengths - 1)[:n], ends[min(size, len(words)) - 1 :] - 1
-    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), "<u8", n)
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -64,7 +48,7 @@ def _majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """SimHash of the text's word shingles, repeats included; 0 without words."""
-    return _majority(_shingle_hashes(text, size))
+    return _majority(shingle_hashes(text, size))
 
 
 def fingerprints(spark: SparkSession, size: int = SHINGLE):
@@ -223,257 +207,6 @@ def near_links(prints: DataFrame, budget: int = BUDGET, part_rows: int = PART_RO
     return found
 
 
-def _set_of(text: str, size: int) -> np.ndarray:
-    """The text's shingles as a sorted set of hashes."""
-    return np.unique(_shingle_hashes(text, size))
-
-
-def _node(shingles: np.ndarray) -> int:
-    """A hash of all of a set, so that only equal sets are one node."""
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(shingles.tobytes(), SEED)
-
-
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(BITS - BUCKET_BITS)).astype(np.int64)
-
-
-def _bucket_counts(size: int):
-    """Rows (block, counts): how many texts have shingles of each bucket, by blocks of buckets."""
-
-    def count(batches):
-        total = np.zeros(1 << BUCKET_BITS, "<u4")
-        for batch in batches:
-            for part in batches_of_rows([batch], 4 << 20):
-                at, n = np.unique(np.concatenate([_bucket(_set_of(x.as_py(), size)) for x in part.column(0)]), return_counts=True)
-                total[at] += n.astype("<u4")
-        rows = [(k, x.tobytes()) for k, x in enumerate(total.reshape(BUCKET_BLOCKS, -1)) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "counts"])
-
-    return count
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()], axis=0, dtype="<u8")
-    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def commonness(texts: DataFrame, size: int) -> np.ndarray:
-    """For each bucket of shingles a class, four to the doubling of its count above the mean.
-
-    Classes only order shingles and deal out blocks, so texts of strangers that
-    share a bucket cost time but change no result.
-    """
-    rows = texts.mapInArrow(_bucket_counts(size), "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary").collect()
-    total = np.zeros((BUCKET_BLOCKS, (1 << BUCKET_BITS) // BUCKET_BLOCKS))
-    for r in rows:
-        total[r["block"]] = np.frombuffer(r["counts"], "<u8")
-    return (4 * np.log2(np.maximum(total - np.floor(total.mean()), 0) + 1)).astype(np.uint8).ravel()
-
-
-def _prefixes(common: np.ndarray, size: int):
-    """A column function from text to (fp, n, prefix): its node, the size of its set and the rarest shingles, in order.
-
-    Two sets of Jaccard similarity ALIKE or more have one of these in common:
-    their first common shingle is so far ahead in both that enough can follow.
-    """
-
-    @F.arrow_udf("fp long, n int, prefix binary")
-    def cut(texts: pa.Array) -> pa.Array:
-        fps, ns, prefixes = [], [], []
-        for x in texts:
-            shingles = _set_of(x.as_py() or "", size)
-            n = len(shingles)
-            fps.append(_node(shingles))
-            ns.append(n)
-            prefixes.append(shingles[np.lexsort((shingles, common[_bucket(shingles)]))[: n - -(-ALIKE[0] * n // ALIKE[1]) + 1]].tobytes() if n else b"")
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.binary())], names=["fp", "n", "prefix"])
-
-    return cut
-
-
-def _filter(ids: DataFrame):
-    """A column function that is true for ids of a table and few others, from a bitmap of 16 bits or more an id."""
-    n = 1 << max(15, ids.count().bit_length() + 4)
-    place = F.pmod(F.xxhash64("id"), F.lit(n)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = np.zeros((n >> 15, 1 << 12), np.uint8)
-    for r in rows:
-        bits[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    bits = bits.ravel()
-
-    @F.arrow_udf("boolean")
-    def has(places: pa.Array) -> pa.Array:
-        at = places.to_numpy()
-        return pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)
-
-    return has(place - 1)
-
-
-def _blocks(common: np.ndarray, part_rows: int):
-    """Rows (block, fp, sizes), one for each shingle of a prefix; sizes packs the set's and what is left of it from this shingle on.
-
-    A common shingle's nodes are dealt out to k chunks and each two chunks make a
-    block, so that all pairs still meet.
-    """
-    chunks = 1 + (np.exp2(common / 4) // part_rows).astype(np.int64)
-
-    def spread(batches):
-        for batch in batches:
-            for part in batches_of_rows([batch], 1 << 20):
-                prefixes = [np.frombuffer(x or b"", "<u8") for x in part.column(2).to_pylist()]
-                lengths = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
-                shingle = np.concatenate(prefixes)
-                fp, n = (np.repeat(part.column(k).to_numpy(), lengths).astype(np.int64) for k in (0, 1))
-                rest = n - (np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-                times = chunks[_bucket(shingle)]
-                row = np.repeat(np.arange(len(shingle)), times)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                shingle, fp, n, rest, times = (x[row] for x in (shingle, fp, n, rest, times))
-                mine = (fp.view(np.uint64) % times.astype(np.uint64)).astype(np.int64)
-                pair = (np.minimum(mine, other) * times + np.maximum(mine, other)).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    block = (shingle ^ pair * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block.view(np.int64), fp, n << 32 | rest)], names=["block", "fp", "sizes"])
-
-    return spread
-
-
-def _admitted(n: np.ndarray, rest: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Which of a block's rows lo to hi can be alike to which of its rows, if the block's shingle is their first common one."""
-    p, q = ALIKE
-    return (p + q) * np.minimum(rest[lo:hi, None], rest[None]) >= p * (n[lo:hi, None] + n[None])
-
-
-def _candidates(small: int):
-    """Pairs (kind 0: a, b) of blocks: all of a small one, else each node with its least partner; and (kind 1: block, fp, sizes) the rows of the others."""
-
-    def pairs(batches):
-        for block, words in _runs(batches):
-            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            sizes = np.diff(np.r_[edges, len(block)])
-            fp, both = words[:, 0].view(np.int64), words[:, 1].view(np.int64)
-            n, rest = both >> 32, both & 0xFFFFFFFF
-            two = edges[sizes == 2]  # the commonest block by far
-            two = two[(sum(ALIKE) * np.minimum(rest[two], rest[two + 1]) >= ALIKE[0] * (n[two] + n[two + 1])) & (fp[two] != fp[two + 1])]
-            a, b, more = [fp[two]], [fp[two + 1]], []
-            for at, count in zip(edges[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                order = at + np.argsort(fp[at : at + count], kind="stable")
-                f, open_rows = fp[order], False
-                step = max(1, LEAF_CELLS // count)
-                for lo in range(0, count, step):
-                    hi = min(count, lo + step)
-                    x, y = np.nonzero(_admitted(n[order], rest[order], lo, hi) & (f[lo:hi, None] > f[None]))
-                    if count > small:
-                        first = np.unique(x, return_index=True)[1]
-                        open_rows |= len(first) < len(x)
-                        x, y = x[first], y[first]
-                    a.append(f[lo + x])
-                    b.append(f[y])
-                if open_rows:
-                    more.append(order)
-            a, b = np.concatenate(a), np.concatenate(b)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pair = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-            more = np.concatenate(more) if more else np.zeros(0, np.int64)
-            zero, none = np.zeros(pair.shape[1], np.int64), np.ones(len(more), np.int64)
-            columns = [(zero, none), (pair[0], block[more]), (pair[1], fp[more]), (zero, both[more])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["kind", "a", "b", "sizes"])
-
-    return pairs
-
-
-def _crossing(batches):
-    """Pairs of a block's rows (block, fp, sizes, root) that can be alike and are not connected yet."""
-    for block, words in _runs(batches):
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        for at, end in zip(edges.tolist(), np.r_[edges[1:], len(block)].tolist(), strict=True):
-            fp, both, root = words[at:end, 0].view(np.int64), words[at:end, 1].view(np.int64), words[at:end, 2]
-            n, rest = both >> 32, both & 0xFFFFFFFF
-            if (root == root[0]).all():
-                continue
-            step = max(1, LEAF_CELLS // (end - at))
-            for lo in range(0, end - at, step):
-                hi = min(end - at, lo + step)
-                x, y = np.nonzero(_admitted(n, rest, lo, hi) & (root[lo:hi, None] != root[None]) & (fp[lo:hi, None] < fp[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[lo + x], pa.int64()), pa.array(fp[y], pa.int64())], names=["a", "b"])
-
-
-def _verified(size: int):
-    """The pairs (a, b) whose texts' sets are alike, from rows (a, b, text, text)."""
-    p, q = ALIKE
-
-    def verified(batches):
-        for batch in batches:
-            good, seen, x = [], None, None
-            for k, (node, left, right) in enumerate(zip(*(batch.column(c) for c in (0, 2, 3)), strict=True)):
-                if node != seen:
-                    seen, x = node, _set_of(left.as_py(), size)
-                y = _set_of(right.as_py(), size)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append((p + q) * common >= p * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-    return verified
-
-
-def alike_links(prints: DataFrame, texts: DataFrame, ids: DataFrame, common: np.ndarray, size: int, part_rows: int = PART_ROWS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of sets with Jaccard similarity ALIKE or more.
-
-    ``prints`` has (fp, n, prefix) of each distinct set, ``texts`` (id, digest,
-    text) and ``ids`` (id, digest, fp) of each row.  Sets that are alike share a
-    shingle of both prefixes, so they meet in its block.  First each node of a
-    large block is compared with one partner; then all pairs of it that are not
-    connected by then.  Every link is checked on the whole sets.
-    """
-    blocks = prints.select("fp", "n", "prefix").mapInArrow(_blocks(common, part_rows), "block long, fp long, sizes long")
-    found = checkpointed(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(SMALL_BLOCK), "kind long, a long, b long, sizes long"))
-    pairs = checkpointed(found.where("kind = 0").select("a", "b").distinct())
-    others = found.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("fp"), "sizes")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(others.select("fp")).distinct()
-    # One row of each node.
-    wanted = ids.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("row"))
-    wanted = checkpointed(wanted.select("fp", F.col("row.id").alias("want"), F.col("row.digest").alias("digest")))
-    rows = texts.where(_filter(wanted.select(F.col("want").alias("id")))).join(wanted, (texts["digest"] == wanted["digest"]) & F.col("id").eqNullSafe(F.col("want")))
-    chosen = checkpointed(rows.select("fp", "text").dropDuplicates(["fp"]))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(chosen.toDF("a", "x"), "a").join(chosen.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return checkpointed(both.mapInArrow(_verified(size), "a long, b long"))
-
-    links = checked(pairs)
-    if others.limit(1).count():
-        labelled = others.join(components(links), F.col("fp") == F.col("node"), "left").select("block", "fp", "sizes", F.coalesce("root", "fp").alias("root"))
-        rest = labelled.repartition("block").sortWithinPartitions("block").mapInArrow(_crossing, "a long, b long").distinct()
-        links = links.union(checked(rest.join(pairs, ["a", "b"], "left_anti")))
-    return links
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, root being the least node of its component.
-
-    Large-star and small-star steps in turn; each writes its links to the shared
-    folder, and they end when nothing changes.
-    """
-    links = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    before = None
-    while True:
-        both = links.union(links.select("b", "a")).toDF("u", "v")
-        # Large star: neighbours above u go to the least of u and its neighbours.
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(low, "u").select("m", "v").where("m < v").distinct().toDF("a", "b")
-        # Small star: u and its neighbours below it go to the least of them.
-        down = star.groupBy("b").agg(F.min("a").alias("m"))
-        star = star.join(down, "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("x")).where("m < x").distinct().toDF("a", "b")
-        links = checkpointed(star)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(links.select("a", "a").distinct())
-        before = now
-
-
 def _groups(marked: DataFrame, id_name: str, join) -> DataFrame:
     """(fp, component_id, keeper): for each fingerprint its component's least id and the fingerprint that has it."""
     more = [c for c in marked.columns if c not in ("fp", id_name)]
@@ -504,7 +237,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One document of each component, that with the smallest id, with all its columns.
 
     ``wide`` joins texts whose sets of shingles have Jaccard similarity 0.8 or
-    more, all of them and no others, by :func:`alike_links`; otherwise ``budget``
+    more, all of them and no others, by :func:`lakemill.llm.alike.alike_links`; otherwise ``budget``
     bits of 64 may differ.  Texts without words are equal.  If rows share that id
     and its fingerprint (its set), the first by text stays.
     """
@@ -513,10 +246,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     first = F.row_number().over(Window.partitionBy("fp", "id").orderBy(F.col(f"row.`{text_col}`").asc_nulls_last()))
     if wide:
         texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-        common = commonness(texts.select("text"), size)
+        common = alike.commonness(texts.select("text"), size)
         # Marked as nondeterministic only so that the optimizer does not compute it once more for a filter.
-        slim = checkpointed(texts.select("id", "digest", _prefixes(common, size).asNondeterministic()(F.col("text")).alias("p")).select("id", "digest", "p.*"))
-        groups = _groups(slim.drop("digest"), "id", lambda p: alike_links(p, texts, slim.select("id", "digest", "fp"), common, size, part_rows))
+        slim = checkpointed(texts.select("id", "digest", alike.profiles(common, size).asNondeterministic()(F.col("text")).alias("p")).select("id", "digest", "p.*"))
+        groups = _groups(slim.drop("digest"), "id", lambda p: alike.alike_links(p, texts, slim.select("id", "digest", "fp"), common, size, part_rows))
         keep = groups.where(F.col("keeper") == F.col("fp")).select("fp", F.col("component_id").alias("kid"))
         mine = slim.select("id", "digest", "fp").join(keep.withColumnRenamed("fp", "kfp"), (F.col("fp") == F.col("kfp")) & F.col("id").eqNullSafe(F.col("kid")))
         # Digests tell apart rows of one id; where such rows share a set, texts decide between them.

@@ -5,9 +5,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lakemill.llm import exact, simhash, substrings
+from lakemill.llm import alike, exact, simhash, substrings
+from lakemill.llm.common import components
 
 SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
 LAST = 2**63 - 1
@@ -100,7 +102,7 @@ def test_near_links(spark, part_rows):
     base = [rng.getrandbits(64) for _ in range(25)]
     values = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) for b in base for _ in range(15)})
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(simhash.near_links(df, part_rows=part_rows)).collect()}
+    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in components(simhash.near_links(df, part_rows=part_rows)).collect()}
     want = brute_components(values, 2)
     groups = lambda f: {frozenset(v for v in values if f(v) == k) for k in map(f, values)}
     assert groups(lambda v: roots.get(v, v)) == groups(want.get)
@@ -160,7 +162,7 @@ def test_wide_survivors(spark, awkward, empty):
 
 def brute_alike(rows, size=5):
     """Root of each text: components of all pairs of shingle sets of Jaccard similarity 0.8 or more."""
-    sets = {i: set(simhash._shingle_hashes(t, size).tolist()) for i, t in rows}
+    sets = {i: set(alike.shingle_hashes(t, size).tolist()) for i, t in rows}
     root = dict.fromkeys(sets)
     order = sorted(sets)
     for i in order:
@@ -230,13 +232,47 @@ def test_wide_crowded(spark, part_rows):
     assert survived(spark, rows, part_rows=part_rows) == {i for i, r in brute_alike(rows).items() if i == r}
 
 
+def test_wide_rounds(spark, monkeypatch):
+    """Families around the threshold, of which a set names one partner a round: the rest is settled by whole sets."""
+    rng = random.Random(14)
+    rows = []
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(150)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    want = {i for i, r in brute_alike(rows).items() if i == r}
+    asked = []
+    settled = alike._settled
+    monkeypatch.setattr(alike, "_settled", lambda size: asked.append(size) or settled(size))
+    assert 3 < len(want) < 100 and survived(spark, rows) == want
+    monkeypatch.setattr(alike, "PARTNERS", (1, 1))
+    assert survived(spark, rows) == want and asked
+
+
+def test_parity_bound():
+    """Parity fingerprints never differ in more bits than the sets in members, also when one is folded."""
+    rng = np.random.Generator(np.random.PCG64(15))
+    for n in (3, 300, 600, 3000, 9000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.r_[x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, n // 10 + 1, dtype=np.uint64)])
+        table = pa.table({"block": [1, 1], "fp": [1, 2], "sizes": [len(x) << 32 | len(x), len(y) << 32 | len(y)], "root": [1, 2], "parity": [alike.parity(x), alike.parity(y)]})
+        rows = alike._Rows(table)
+        width = int(rows.width.min())
+        assert np.bitwise_count(rows.words[width][0] ^ rows.words[width][1]).sum() <= len(np.setxor1d(x, y))
+        if alike._alike(x, y):
+            assert rows.near(np.array([0]), np.array([1]))[0]
+
+
 def test_wide_nodes(spark, monkeypatch):
     """Texts that share 64 bits of SimHash are not joined for that; each has its own links."""
     words = [f"w{k}" for k in range(200)]
     rows = [(0, " ".join(words)), (1, " ".join(f"v{k}" for k in range(200))), (2, " ".join([*words[:190], *(f"z{k}" for k in range(10))]))]
     monkeypatch.setattr(simhash, "_majority", lambda hashes: 7)
     assert survived(spark, rows) == {0, 1}
-    assert len({simhash._node(simhash._set_of(t, 5)) for _, t in rows}) == 3
+    assert len({alike.node_of(alike.set_of(t, 5)) for _, t in rows}) == 3
 
 
 def test_substrings(awkward, documents, empty):

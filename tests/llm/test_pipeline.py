@@ -24,7 +24,7 @@ def test_stages(spark, data, documents, tmp_path):
         groups["".join(x for x in r["text"] if x not in " \t\n\x0b\x0c\r")].append((-len(r["text"]), r["doc_id"]))
     assert {r["doc_id"] for r in after.collect()} == {min(g)[1] for g in groups.values()}
     before, after = seen["simhash_near_dedup"]
-    sets = {r["doc_id"]: set(simhash._shingle_hashes(r["text"], 5).tolist()) for r in before.collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in before.collect()}
     alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
     kept = {r["doc_id"] for r in after.collect()}
     assert kept <= set(sets)
@@ -62,7 +62,7 @@ def test_near_dedup_exact(spark, data, documents):
     import corpus_pipeline
 
     rows = documents.collect()
-    sets = {r["doc_id"]: set(simhash._shingle_hashes(r["text"] or "", 5).tolist()) for r in rows}
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"] or "", 5).tolist()) for r in rows}
     root = {i: i for i in sets}
     for i in sorted(sets):
         for j in sets:
