@@ -7,19 +7,23 @@ bring the suffixes to be sorted down to those that can matter, and lose none:
 
 * Chunks.  Content cuts each text into chunks.  A chunk, with the 49 bytes
   after it, that also stands in an earlier document settles all its strings at
-  once; only the first document's copy goes on.
+  once; only the first document's copy goes on.  Chunks are equal if their XXH3
+  digests of 128 bits are.  Tasks combine their own equal chunks first.
 * Anchors.  Each string of 50 bytes holds 31 strings of 20 bytes; the one with
   the least hash is its anchor.  Equal strings have equal anchors, and one
-  anchor serves some 16 neighbouring strings.  Only anchors that stand in two
-  documents go on.  Tasks first settle what repeats among their own documents.
+  anchor serves some 16 neighbouring strings, or all of a stretch that repeats
+  one anchor.  Only anchors that stand in two documents go on.  Tasks first
+  settle what repeats among their own documents.
 * Refinement.  Around the anchors that are left, suffixes are put into buckets
-  by their first 8 bytes.  Buckets are refined by the bucket of the suffix 8
-  bytes further on, giving buckets of 16 bytes, whose numbers are used again for
-  32, and those for 50.  Suffixes alone in a bucket are finished and drop out.
-  What shares a bucket of 50 bytes is equal, byte by byte.
+  by their first 8 bytes, and each suffix points to the end of its bucket.  A
+  bucket is refined by sorting its suffixes by the pointers of those 8 bytes
+  further on; the new pointers, now of 16 bytes, are written back at once and
+  refine by 16, and those of 32 by 18.  Suffixes alone in a bucket are finished
+  and drop out.  What shares a bucket of 50 bytes is equal, byte by byte.
 
 The texts themselves are shuffled once, by document; all steps join with that
-one exchange.  Between steps go packed arrays, dealt out by the anchor's hash.
+one exchange.  Between steps go packed arrays, dealt out by the anchor's hash
+to parts of a bounded number of bytes on average.
 """
 
 from __future__ import annotations
@@ -35,13 +39,17 @@ from lakemill.llm.common import LAST_ID, batches_of_rows, checkpointed, ready, t
 
 LENGTH, ANCHOR, CHUNK_MASK, SALTS = 50, 20, 31, 64
 WINDOW = LENGTH - ANCHOR + 1
-#: Bytes of text that a task looks at together.
-BLOCK = 1 << 20
+#: Bytes of text that a task looks at together, bytes of text for each part, and about the most strings of a run.
+BLOCK, PART_BYTES, MOST_STRINGS = 1 << 20, 16 << 20, 4096
+#: Bytes of the buckets that refinement begins with.
+GRAM = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
 #: What stands before the bytes of a run of strings that share an anchor; runs of other shares of a part can't match.
 RUN = np.dtype([("ord", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("size", "<u2"), ("share", "<u2")])
 SHARES = 16
+#: A chunk that stands in a document: it settles the strings that start from ``start`` to before ``stop``.
+CHUNK = np.dtype([("ord", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("stop", "<u4")])
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -70,9 +78,11 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def runs(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first, last): the anchors of texts that stand one after another, and the strings that each serves.
+    """(hash, first, last, cuts) of texts that stand one after another: the anchors' hashes, the strings that each serves, and where chunks begin.
 
     ``offsets`` are the texts' bounds; places count from the start of ``b``.
+    Neighbouring strings with equal anchors make one run wherever those stand, so
+    that a stretch of one letter is a run and not one for each of its letters.
     """
     none = np.zeros(0, np.int64)
     if len(b) < LENGTH:
@@ -93,14 +103,22 @@ def runs(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     change = np.r_[True, least[1:] != least[:-1]]
     first = np.flatnonzero(valid & (change | ~np.r_[False, valid[:-1]]))
     last = np.flatnonzero(valid & (np.r_[change[1:], True] | ~np.r_[valid[1:], False]))
+    if not len(first):
+        return none.astype(_U), none, none, none
     anchor = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
-    return h[anchor], anchor, first, last
+    h = h[anchor]
+    same = np.r_[False, h[1:] == h[:-1]]
+    cuts = anchor[((h & _U(CHUNK_MASK)) == 0) & ~(same & (np.diff(anchor, prepend=-LENGTH) <= WINDOW))]
+    head = ~(same & (first == np.r_[-1, last[:-1] + 1]))
+    piece = (first - first[head][np.cumsum(head) - 1]) // MOST_STRINGS
+    head = np.flatnonzero(head | np.r_[True, piece[1:] != piece[:-1]])
+    return h[head], first[head], last[np.r_[head[1:] - 1, len(last) - 1]], cuts
 
 
-def chunks(h: np.ndarray, anchor: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunks(cuts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, stop) of the runs of strings' starts that chunks settle; they cover every string of every text."""
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
-    starts = np.unique(np.r_[offsets[long], anchor[(h & _U(CHUNK_MASK)) == 0]])
+    starts = np.unique(np.r_[offsets[long], cuts])
     text = np.searchsorted(offsets, starts, "right") - 1
     end = offsets[text + 1] - LENGTH + 1
     keep = starts < end
@@ -121,28 +139,68 @@ def _long(column: pa.Array) -> np.ndarray:
 
 
 def _chunk_rows(batches: Iterator) -> Iterator:
+    """Rows (h1, h2, least, most, covered, own): each chunk of some texts once, with all its places in them."""
     from xxhash import xxh3_128_digest
 
-    for batch in batches_of_rows(batches, BLOCK):
-        b, offsets = _texts(batch.column(3))
-        h, anchor, _, _ = runs(b, offsets)
-        text, starts, stops = chunks(h, anchor, offsets)
-        if not len(text):
+    for batch in batches_of_rows(batches, 8 * BLOCK):
+        marks, metas = [], []
+        for part in batches_of_rows([batch], BLOCK):
+            b, offsets = _texts(part.column(3))
+            text, starts, stops = chunks(runs(b, offsets)[3], offsets)
+            raw = memoryview(b)
+            marks += [xxh3_128_digest(raw[x:y]) for x, y in zip(starts.tolist(), (stops + LENGTH - 1).tolist(), strict=True)]
+            meta = np.zeros(len(text), CHUNK)
+            meta["ord"], meta["tag"] = _long(part.column(0))[text], _long(part.column(1))[text]
+            meta["start"], meta["stop"] = starts - offsets[text], stops - offsets[text]
+            metas.append(meta)
+        if not marks:
             continue
-        raw = memoryview(b)
-        mark = np.frombuffer(b"".join([xxh3_128_digest(raw[x:y]) for x, y in zip(starts.tolist(), (stops + LENGTH - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy()), pa.array(_long(batch.column(0))[text]), pa.array(_long(batch.column(1))[text]), pa.array((starts - offsets[text]).astype(np.int32)), pa.array((stops - offsets[text]).astype(np.int32))], names=["h1", "h2", "ord", "tag", "start", "stop"])
+        mark, meta = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2), np.concatenate(metas)
+        order = np.lexsort((meta["ord"], mark[:, 1], mark[:, 0]))
+        mark, meta = mark[order], meta[order]
+        a = np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]).any(axis=1)])
+        z = np.r_[a[1:], len(mark)]
+        covered = np.add.reduceat(meta["stop"].astype(np.int64) - meta["start"], a)
+        own = [meta[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+        columns = (mark[a, 0], mark[a, 1], meta["ord"][a], meta["ord"][z - 1], covered)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x), pa.int64()) for x in columns), pa.array(own, pa.binary())], names=["h1", "h2", "least", "most", "covered", "own"])
+
+
+def _later_chunks(parts: int):
+    """Rows (part, data) of the places of chunks (from, own) in documents after the one ``from``, by their documents' part."""
+
+    def emit(batches: Iterator) -> Iterator:
+        for batch in batches_of_rows(batches, 8 * BLOCK):
+            own = batch.column(1).to_pylist()
+            meta = np.frombuffer(b"".join(own), CHUNK)
+            least = np.repeat(_long(batch.column(0)), [len(x) // CHUNK.itemsize for x in own])
+            meta = meta[meta["ord"] > least]
+            part = _tag_part(meta["tag"].copy(), parts)
+            order = np.argsort(part, kind="stable")
+            meta, part = meta[order], part[order]
+            cuts = list(zip(*_cuts(part), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[x]) for x, _ in cuts], pa.int32()), pa.array([meta[x:y].tobytes() for x, y in cuts], pa.binary())], names=["part", "data"])
+
+    return emit
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The places of a part by document: rows (tag, spans), each packing (ord, start, stop)."""
+    meta = np.concatenate([np.frombuffer(x.as_buffer(), CHUNK) for x in table["data"]])
+    meta = meta[np.lexsort((meta["start"], meta["ord"], meta["tag"]))]
+    a, z = _cuts(meta["tag"])
+    return pa.table({"tag": pa.array(meta["tag"][a], pa.int64()), "chunks": pa.array([meta[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary())})
 
 
 def _spans(column: pa.Array, ords: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted starts and stops of the settled spans of all texts, counted from the start of the block."""
-    a, z = [], []
-    for k in np.flatnonzero(np.asarray(column.is_valid())):
-        for x in column[int(k)].as_py():
-            if x["ord"] == ords[k]:
-                a.append(x["start"] + offsets[k])
-                z.append(x["stop"] + offsets[k])
-    a, z = np.array(a, np.int64), np.array(z, np.int64)
+    a, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(np.asarray(column.is_valid())).tolist():
+        own = np.frombuffer(column[k].as_buffer(), CHUNK)
+        own = own[own["ord"] == ords[k]]
+        a.append(own["start"].astype(np.int64) + offsets[k])
+        z.append(own["stop"].astype(np.int64) + offsets[k])
+    a, z = np.concatenate(a), np.concatenate(z)
     order = np.argsort(a, kind="stable")
     return a[order], z[order]
 
@@ -208,12 +266,12 @@ def _anchor_rows(parts: int):
             hs, tags = [], []
             for part in batches_of_rows([batch], BLOCK):
                 b, offsets = _texts(part.column(3))
-                h, anchor, first, last = runs(b, offsets)
+                h, first, last, _ = runs(b, offsets)
                 spans = _spans(part.column(4), _long(part.column(0)), offsets)
                 # A run goes on if any of its strings is not settled.
                 keep = ~_all_inside(first, last, *spans)
                 hs.append(h[keep])
-                tags.append(_long(part.column(1))[np.searchsorted(offsets, anchor[keep], "right") - 1])
+                tags.append(_long(part.column(1))[np.searchsorted(offsets, first[keep], "right") - 1])
             h, tag = np.concatenate(hs), np.concatenate(tags)
             if not len(h):
                 continue
@@ -265,8 +323,8 @@ def _run_rows(parts: int):
                     continue
                 part = part.take(pa.array(some))
                 b, offsets = _texts(part.column(3))
-                h, anchor, first, last = runs(b, offsets)
-                text = np.searchsorted(offsets, anchor, "right") - 1
+                h, first, last, _ = runs(b, offsets)
+                text = np.searchsorted(offsets, first, "right") - 1
                 wanted = [(k, np.frombuffer(b"".join(x), "<u4")) for k, x in enumerate(part.column(4).to_pylist())]
                 wanted = np.concatenate([(_U(k) << _U(32)) | w.astype(_U) for k, w in wanted])
                 keep = np.isin((text.astype(_U) << _U(32)) | (h & _U(0xFFFFFFFF)), wanted)
@@ -310,44 +368,48 @@ def _run_rows(parts: int):
     return emit
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Bucket numbers: equal where all keys are equal, in the keys' order."""
-    if len(keys) == 1:
-        return np.unique(keys[0], return_inverse=True)[1]
-    return np.unique(keys[0].astype(_U) * _U(int(keys[1].max(initial=0)) + 1) + keys[1].astype(_U), return_inverse=True)[1]
-
-
-def _crowded(bucket: np.ndarray) -> np.ndarray:
-    """Which rows share their bucket."""
-    return np.bincount(bucket)[bucket] > 1
-
-
 def refine(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket-pointer refinement: of ``starts``, those whose 50 bytes in ``data`` occur at another start, and their buckets."""
     if not len(starts):
         return starts, starts
-    padded = np.r_[data, np.zeros(LENGTH + 8, np.uint8)]
-    first8 = np.zeros(len(data) + LENGTH, _U)
-    for k in range(8):
-        first8 = (first8 << _U(8)) | padded[k : k + len(first8)].astype(_U)
-    level = _dense(first8)  # buckets of 8 bytes, at every offset
-    live = starts[_crowded(level[starts])]
-    buckets = {8: level}
-    # Places where the next level's buckets are read, seen from a string's start: 16 at 0, 16, 18 and 34, then 32 at 0 and 18.
-    for width, reads in ((16, (0, 16, 18, 34)), (32, (0, 18))):
-        need = np.unique((live[:, None] + np.array(reads)).ravel())
-        half = width // 2
-        fresh = np.zeros(len(level), np.int64)
-        if len(need):
-            fresh[need] = _dense(buckets[half][need], buckets[half][need + half])
-        buckets[width] = fresh
-        if len(live):
-            live = live[_crowded(np.unique(fresh[live], return_inverse=True)[1])]
-    if not len(live):
-        return live, live
-    last = _dense(buckets[32][live], buckets[32][live + LENGTH - 32])
-    keep = _crowded(last)
-    return live[keep], last[keep]
+    padded = np.r_[data, np.zeros(LENGTH + GRAM, np.uint8)]
+    grams = np.zeros(len(data) + LENGTH, _U)
+    for k in range(GRAM):
+        grams = (grams << _U(8)) | padded[k : k + len(grams)].astype(_U)
+    steps = [GRAM]
+    while sum(steps) < LENGTH:
+        steps.append(min(sum(steps), LENGTH - sum(steps)))
+    # Which suffixes are needed at each depth: those that the deeper ones look at, and they themselves.
+    needed = [np.sort(starts)]
+    for step in reversed(steps[1:]):
+        mark = np.zeros(len(grams), bool)
+        mark[needed[-1]] = mark[needed[-1] + step] = True
+        needed.append(np.flatnonzero(mark))
+    pointer = np.zeros(len(grams), np.int64)
+    suffixes = needed.pop()
+    suffixes = suffixes[np.argsort(grams[suffixes], kind="stable")]
+    first, end = _cuts(grams[suffixes])
+    pointer[suffixes] = np.repeat(end - 1, end - first)
+    for step in steps[1:]:
+        live = needed.pop()
+        live = live[_crowded(pointer[live])]
+        if not len(live):
+            return live, live
+        bucket, ahead = pointer[live], pointer[live + step]
+        order = np.lexsort((ahead, bucket))
+        live, bucket, ahead = live[order], bucket[order], ahead[order]
+        first, end = _cuts(bucket)
+        after = np.repeat(end, end - first)  # where the suffix's old bucket ends among the live ones
+        first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])])
+        end = np.r_[first[1:], len(live)]
+        pointer[live] = bucket - (after - np.repeat(end, end - first))
+    keep = live[_crowded(pointer[live])]
+    return keep, pointer[keep]
+
+
+def _crowded(bucket: np.ndarray) -> np.ndarray:
+    """Which rows share their bucket."""
+    return np.bincount(bucket)[bucket] > 1 if len(bucket) else np.zeros(0, bool)
 
 
 def _matched(meta: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -408,7 +470,7 @@ def _cut(batches: Iterator) -> Iterator:
         for own, text, chunk, fine in zip(*(batch.column(k) for k in (0, 3, 4, 5)), strict=True):
             raw, own = text.as_py(), own.as_py()
             sizes.append(len(raw))
-            pairs = [(x["start"], x["stop"] + LENGTH - 1) for x in chunk.as_py() or [] if x["ord"] == own]
+            pairs = [(a, z + LENGTH - 1) for o, _, a, z in (np.frombuffer(chunk.as_buffer(), CHUNK).tolist() if chunk.is_valid else []) if o == own]
             pairs += [tuple(p) for x in fine.as_py() or [] if x["ord"] == own for p in np.frombuffer(x["spans"], "<u4").reshape(-1, 2).tolist()]
             merged: list[list[int]] = []
             for a, z in sorted(pairs):
@@ -435,19 +497,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are not read; an empty table gives an empty result.
     """
     spark = ready(docs.sparkSession)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     raw = text_of(text_col).cast("binary")
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     # A row is known by the hash of its id and text; what comes back to it also names its id.
     rows = docs.select(ident.alias("ord"), F.xxhash64(ident, raw).alias("tag"), F.col(id_col).alias("id"), raw.alias("text"))
 
-    cut = checkpointed(rows.mapInArrow(_chunk_rows, "h1 long, h2 long, ord long, tag long, start int, stop int"))
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
-    salted = cut.groupBy("h1", "h2", "salt").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
-    firsts = salted.groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_set("salt").alias("salts")).where("least < most")
-    firsts = firsts.select("h1", "h2", "least", F.explode("salts").alias("salt"))
-    again = cut.join(firsts, ["h1", "h2", "salt"]).where("ord > least")
-    settled = again.groupBy("tag").agg(F.collect_list(F.struct("ord", "start", "stop")).alias("chunks"))
+    cut = checkpointed(rows.mapInArrow(_chunk_rows, "h1 long, h2 long, least long, most long, covered long, own binary"))
+    covered = cut.agg(F.sum("covered")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), covered // PART_BYTES)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("least", "most"), F.lit(SALTS)).cast("int"))
+    salted = cut.groupBy("h1", "h2", "salt").agg(F.min("least").alias("from"), F.max("most").alias("to"))
+    firsts = salted.groupBy("h1", "h2").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.collect_set("salt").alias("salts")).where("from < to")
+    firsts = firsts.select("h1", "h2", "from", F.explode("salts").alias("salt"))
+    again = cut.join(firsts, ["h1", "h2", "salt"]).where("most > from").select("from", "own").mapInArrow(_later_chunks(parts), "part int, data binary")
+    settled = again.groupBy("part").applyInArrow(_by_document, "tag long, chunks binary")
 
     asked = rows.join(settled, "tag", "left").select("ord", "tag", "id", "text", "chunks").mapInArrow(_anchor_rows(parts), "kind int, part int, data binary")
     shared = asked.groupBy("part").applyInArrow(_shared_anchors, "tag long, hashes binary")

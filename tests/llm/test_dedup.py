@@ -276,7 +276,8 @@ def test_wide_nodes(spark, monkeypatch):
 
 
 def test_substrings(awkward, documents, empty):
-    for df in (awkward.where("doc_id IS NULL OR doc_id <> 10"), documents):
+    low = awkward.sparkSession.createDataFrame([(12, "x" * 30_000 + "y" * 60), (13, "ab" * 20_000), (14, "ba" * 9_000 + "x" * 70)], "doc_id long, text string")
+    for df in (awkward.select("doc_id", "text").union(low), awkward, documents):
         got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in substrings.remove_repeats(df).collect()]
         assert sorted(got, key=repr) == brute_repeats([(r["doc_id"], r["text"]) for r in df.collect()])
     assert substrings.remove_repeats(empty).count() == 0
@@ -304,6 +305,15 @@ def test_settled_runs():
     assert not substrings._all_inside(np.array([3]), np.array([3]), a[:0], z[:0])[0]
 
 
+def test_low_entropy_runs():
+    """A stretch of one letter, or of a short period, is a few runs, not one for each letter."""
+    for text in (b"z" * 200_000, b"abc" * 70_000):
+        b = np.frombuffer(text, np.uint8)
+        h, first, last, cuts = substrings.runs(b, np.array([0, len(b)]))
+        assert len(h) < 60 and len(cuts) < 5
+        assert first[0] == 0 and last[-1] == len(b) - 50 and (first[1:] == last[:-1] + 1).all() and (last - first).max() < 1 << 15
+
+
 def test_refinement():
     data = np.frombuffer(("ab" * 40 + "c" * 10 + "ab" * 40).encode(), np.uint8)
     live, bucket = substrings.refine(data, np.arange(len(data) - 49))
