@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batches_of_rows, checkpointed, components
+from lakemill.llm.common import batches_of_rows, checkpointed, components, whole_blocks
 
 #: Sets are alike from this Jaccard similarity on.
 ALIKE = (4, 5)
@@ -188,23 +188,6 @@ def _blocks(common: np.ndarray, part_rows: int):
     return spread
 
 
-def whole_blocks(batches: Iterator) -> Iterator[pa.Table]:
-    """Sorted batches as tables that hold whole blocks (runs of equal first values)."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column(0).to_numpy()
-        last = int(np.searchsorted(block, block[-1]))  # blocks before the last one are complete
-        if last or (held and held[-1].column(0)[-1].as_py() != block[0]):
-            held.append(batch.slice(0, last))
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 class _Rows:
     """The rows of some whole blocks; methods speak of them by their places."""
 

@@ -21,8 +21,6 @@ are found by fingerprints with an exact budget (see :mod:`lakemill.llm.alike`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,12 +28,12 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import alike
 from lakemill.llm.alike import shingle_hashes
-from lakemill.llm.common import checkpointed, components, ready, text_of
+from lakemill.llm.common import checkpointed, components, ready, text_of, whole_blocks
 
 BITS, BUDGET, SHINGLE, PART_ROWS = 64, 2, 3, 20_000
 SEED = 42
-#: Trie nodes with up to so many pairs are compared directly.
-LEAF_PAIRS = 4096
+#: So many node pairs go down the tries together.
+FRONTIER = 1 << 17
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -71,107 +69,101 @@ def band_masks(level: int, n: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if i // n**level % n == k) for k in range(n)]
 
 
-def trie_links(prints: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges (a, b) between ``n`` nodes that make a spanning forest: each component takes its first edge, again and again."""
+    label, left, chosen = np.arange(n), np.arange(len(a)), []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(chosen)) if chosen else left
+        first = np.full(n, len(a))
+        np.minimum.at(first, label[a[left]], left)
+        np.minimum.at(first, label[b[left]], left)
+        pick = np.unique(first[first < len(a)])
+        chosen.append(pick)
+        x, y, up = label[a[pick]], label[b[pick]], np.arange(n)
+        while True:
+            low = np.minimum(up[x], up[y])
+            if (up[x] == low).all() and (up[y] == low).all():
+                break
+            for k in (x, y):
+                np.minimum.at(up, up[k], low)
+                np.minimum.at(up, k, low)
+            up = up[up]
+        label = up[label]
+
+
+class Visits:
+    """What a self-join did: node pairs that it visited, gave up for their differing bits, compared as single paths and linked as wholes."""
+
+    def __init__(self) -> None:
+        self.visited = self.pruned = self.single = self.whole = 0
+
+
+def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | None = None, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of a spanning forest over distinct sorted fingerprints within ``budget`` bits.
 
-    ``prints`` has a row for each, of one 64-bit word or more.  A node is a run of
-    the sorted rows with one prefix; pairs of nodes go down together on a stack.
+    ``starts`` are the first rows of tries that are joined each with itself (one
+    by default).  A node is a run of the sorted rows with one prefix.  All node
+    pairs of one depth go down together: each gives the pairs of its halves, and a
+    pair whose differing bits exceed the budget is given up.  Two nodes of one
+    row each are paths without branches, whose other bits are added up at once.
     """
-    prints = prints.reshape(len(prints), -1)
-    total, parent = BITS * prints.shape[1], np.arange(len(prints))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    found_a, found_b = [], []
-
-    def link(x: int, y: int) -> None:
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            found_a.append(x)
-            found_b.append(y)
-
-    stack = [(0, len(prints), 0, len(prints), total, 0)]
+    visits = visits or Visits()
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    ones = {d: np.r_[0, np.cumsum((prints >> np.uint64(BITS - 1 - d)) & np.uint64(1))].astype(np.int64) for d in range(BITS)}
+    ends = np.r_[starts[1:], len(prints)]
+    a, b = [], []
+    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros(len(starts), np.int64)]))] if len(prints) else []
     while stack:
-        a0, a1, b0, b1, left, spent = stack.pop()
-        same = a0 == b0
-        if a0 == a1 or b0 == b1 or (same and a1 - a0 < 2):
-            continue
-        if left <= budget - spent:  # whatever the other bits are, all of these link
-            for x in range(a0, a1):
-                link(x, b0)
-            for y in range(b0 + 1, b1):
-                link(a0, y)
+        depth, pairs = stack.pop()
+        same = pairs[0] == pairs[2]
+        pairs = pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2]) & ~(same & (pairs[1] - pairs[0] < 2))]
+        visits.visited += pairs.shape[1]
+        over = pairs[4] > budget
+        visits.pruned += int(over.sum())
+        pairs = pairs[:, ~over]
+        single = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
+        visits.single += int(single.sum())
+        x, y = pairs[0, single], pairs[2, single]
+        near = np.bitwise_count(prints[x] ^ prints[y]) <= budget
+        a.append(x[near])
+        b.append(y[near])
+        pairs = pairs[:, ~single]
+        whole = BITS - depth <= budget - pairs[4]  # whatever the other bits are, all of these link
+        visits.whole += int(whole.sum())
+        for a0, a1, b0, b1, _ in pairs[:, whole].T.tolist():
+            a.append(np.r_[np.arange(a0, a1), np.full(b1 - b0, a0)])
+            b.append(np.r_[np.full(a1 - a0, b0), np.arange(b0, b1)])
+        pairs = pairs[:, ~whole]
+        if not pairs.shape[1]:
             continue
-        if (a1 - a0) * (b1 - b0) <= LEAF_PAIRS:
-            if len({root(x) for x in (*range(a0, a1), *range(b0, b1))}) == 1:
-                continue
-            apart = np.bitwise_count(prints[a0:a1, None] ^ prints[None, b0:b1]).sum(axis=2, dtype=np.int64)
-            xs, ys = np.nonzero(apart <= budget)
-            if same:
-                xs, ys = xs[xs < ys], ys[xs < ys]
-            if len(xs) > 4 * (a1 - a0 + b1 - b0):  # nearly all link: each to its first neighbour, and on from there
-                roots = np.array([root(x) for x in range(a0, a1)]), np.array([root(y) for y in range(b0, b1)])
-                pairs = np.unique(np.stack([roots[0][xs], roots[1][ys]]), axis=1, return_index=True)[1]
-                xs, ys = xs[pairs], ys[pairs]
-            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                link(a0 + x, b0 + y)
+        if pairs.shape[1] > FRONTIER:  # go down with a part first, so that what is held stays small
+            stack += [(depth, x) for x in np.array_split(pairs, -(-pairs.shape[1] // FRONTIER), axis=1)]
             continue
-        word, bit = (total - left) // BITS, np.uint64(1) << np.uint64((left - 1) % BITS)
-
-        def middle(lo: int, hi: int, word: int = word, bit: np.uint64 = bit) -> int:
-            return lo + int(np.searchsorted((prints[lo:hi, word] & bit) > 0, True))
-
-        am, bm = middle(a0, a1), middle(b0, b1)
-        stack += [(a0, am, b0, bm, left - 1, spent), (am, a1, bm, b1, left - 1, spent)]
-        if spent < budget:
-            stack.append((a0, am, bm, b1, left - 1, spent + 1))
-            if not same:
-                stack.append((am, a1, b0, bm, left - 1, spent + 1))
-    return np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
-
-
-def _runs(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(part, words of the fingerprints) from sorted batches, cut so that no part is split between two."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = batch.column(0).to_numpy()
-        words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
-        last = int(np.searchsorted(part, part[-1]))  # parts before the last one are complete
-        if last:
-            held.append((part[:last], words[:last]))
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-            held = []
-        held.append((part[last:], words[last:]))
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+        a0, a1, b0, b1, spent = pairs
+        same = a0 == b0
+        am, bm = a1 - (ones[depth][a1] - ones[depth][a0]), b1 - (ones[depth][b1] - ones[depth][b0])
+        apart = ~same
+        below = [(a0, am, b0, bm, spent), (am, a1, bm, b1, spent), (a0, am, bm, b1, spent + 1), tuple(x[apart] for x in (am, a1, b0, bm, spent + 1))]
+        stack.append((depth + 1, np.concatenate([np.stack(x) for x in below], axis=1)))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    some = a != b
+    a, b = a[some], b[some]
+    tree = forest(len(prints), a, b)
+    return a[tree], b[tree]
 
 
 def _joined(budget: int):
-    """Links by the first words, from rows (part, word, ...) sorted by part."""
+    """Links from rows (part, fp) sorted by part, by one trie for each part."""
 
     def links(batches):
-        for part, words in _runs(batches):
-            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sizes = np.diff(np.r_[edges, len(part)])
-            a, b = [], []
-            pair = edges[sizes == 2]  # the commonest part by far
-            near = pair[np.bitwise_count(words[pair] ^ words[pair + 1]).sum(axis=1, dtype=np.int64) <= budget]
-            a.append(words[near, 0])
-            b.append(words[near + 1, 0])
-            for at, n in zip(edges[sizes > 2], sizes[sizes > 2], strict=True):
-                run = words[at : at + n]
-                run = run[np.lexsort(run.T[::-1])]
-                x, y = trie_links(run, budget)
-                a.append(run[x, 0])
-                b.append(run[y, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+        for table in whole_blocks(batches):
+            part, prints = table[0].to_numpy(), table[1].to_numpy().view(np.uint64)
+            order = np.lexsort((prints, part))
+            part, prints = part[order], prints[order]
+            a, b = trie_links(prints, budget, np.flatnonzero(np.r_[True, part[1:] != part[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[x].view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return links
 

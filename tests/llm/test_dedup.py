@@ -82,17 +82,30 @@ def test_fingerprint_definition():
     assert simhash.fingerprint("Two words") == xxhash.xxh64_intdigest(b"two words", 42)
 
 
-def test_trie_join():
+def test_trie_join(monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
     values = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) for b in base for _ in range(20)} | set(range(200))
     prints = np.array(sorted(values), np.uint64)
-    for leaf in (4096, 1):
-        simhash.LEAF_PAIRS, kept = leaf, simhash.LEAF_PAIRS
+    want = len(prints) - len(set(brute_components(map(int, prints), 2).values()))
+    for frontier in (1 << 17, 3):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
         a, b = simhash.trie_links(prints)
-        simhash.LEAF_PAIRS = kept
-        assert all((int(prints[x]) ^ int(prints[y])).bit_count() <= 64 for x, y in zip(a, b, strict=True))
-        assert len(a) == len(prints) - len(set(brute_components(map(int, prints), 2).values()))
+        assert all((int(prints[x]) ^ int(prints[y])).bit_count() <= 2 for x, y in zip(a, b, strict=True))
+        assert len(a) == want
+
+
+def test_trie_visits(spark):
+    """On real fingerprints the join goes down the tries and gives most node pairs up; the links are those of brute force."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    prints = np.unique(np.array([simhash.fingerprint(t) for t in texts], np.uint64))
+    visits = simhash.Visits()
+    a, b = simhash.trie_links(prints, visits=visits)
+    n = len(prints)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None])
+    x, y = np.nonzero(np.triu(apart <= 2, 1))
+    assert len(a) == len(simhash.forest(n, x, y)) and (apart[a, b] <= 2).all()
+    assert visits.pruned > visits.single > 0 and n < visits.visited and visits.single < n * (n - 1) // 20
 
 
 @pytest.mark.parametrize("part_rows", [20_000, 2])
