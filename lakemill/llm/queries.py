@@ -18,8 +18,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
-    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(_documents(spark, sf_dir))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(_documents(spark, sf_dir), keep=["doc_id"])
-    return rows.select("row.doc_id", "size", "source_size", "target", "taken", "rounds", "stop")
+    return rows.select("row.doc_id", "size", "source_size", "target", "taken", "rounds", "part")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,17 +75,18 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_qual
 ORACLE: dict[str, str] = {
     "op2_chat": r"""
         WITH t AS (
-          SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<|im-') AS text FROM conversations),
-        v AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+          SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<|im-') AS text,
+                 replace(replace(replace(role, '<|im_', '<|im-'), chr(10), ' '), chr(13), ' ') AS shown FROM conversations),
+        v AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role IS DISTINCT FROM 'system'),
         p AS (
-          SELECT t.conv_id, participant, turn, t.role, t.text, t.role = participant AS own,
-                 '<|im_start|>' || CASE WHEN t.role = participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
+          SELECT t.conv_id, participant, turn, t.role, t.text, t.role IS NOT DISTINCT FROM participant AS own,
+                 '<|im_start|>' || CASE WHEN t.role IS NOT DISTINCT FROM participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' WHEN t.role IS NULL THEN 'user' ELSE 'user name=' || t.shown END || chr(10) AS head,
                  t.text || '<|im_end|>' || chr(10) AS body
-          FROM t JOIN v USING (conv_id)),
+          FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
         s AS (
-          SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM p)
+          SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM p)
         SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
-               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered,
                coalesce(string_agg(CAST(pos AS BIGINT) || '+' || length(body), ',' ORDER BY pos) FILTER (own), '') AS mask,
                CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS n_masked_in
         FROM s GROUP BY conv_id, participant""",
