@@ -21,52 +21,64 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import ready
 
-DIMENSIONS, SEED, SYMBOLS = 1024, 20_011, 64
-#: Texts of each language that are learned from, as many on average, and the largest number of languages.
+DIMENSIONS, SEED = 1024, 20_011
+#: Texts of each language that are learned from, as many on average, and how many languages: the commonest.
 PER_LANGUAGE, MOST_LANGUAGES = 1500, 4096
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 256
+#: Trigrams of a block that are bound at once, and the steps of a unit vector's numbers when they are added up.
+BOUND, STEPS = 8192, 1 << 24
+_CODE = 21  # bits of a code point
 
 
 @lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """Code point to symbol: 0 no letter, 1-26 a to z, 27-63 other letters by code point."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x80, 0x110000) if chr(c).isalpha()], np.int64)
-    table[letters] = 27 + letters % (SYMBOLS - 27)
-    table[97:123] = np.arange(1, 27)
-    return table
+def letters() -> np.ndarray:
+    """Code point to itself if it is a letter, else to 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
 
 
-@lru_cache(maxsize=1)
-def places() -> list[np.ndarray]:
-    """The letters' vectors as they stand in the first, second and third place."""
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    base = rng.integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
-    return [np.roll(base, k, axis=1) for k in (2, 1, 0)]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The +1 and -1 vector of each code point, made from its number and the seed alone."""
+    with np.errstate(over="ignore"):
+        x = points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) + np.uint64(SEED) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1, bitorder="little").astype(np.int8) * 2 - 1
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Codes of the trigrams whose middle is a letter; word edges count as a symbol."""
-    found = symbols()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")].astype(np.int32)
+    """Codes of the trigrams whose middle is a letter; word edges count as code point 0."""
+    found = letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")]
     keep = (found[1:] != 0) | (found[:-1] != 0)
     found = found[np.r_[True, keep]]
-    codes = (found[:-2] * SYMBOLS + found[1:-1]) * SYMBOLS + found[2:]
+    codes = found[:-2] << 2 * _CODE | found[1:-1] << _CODE | found[2:]
     return codes[found[1:-1] != 0]
 
 
+def bound(codes: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams: their letters' vectors, rotated by their places and multiplied."""
+    mask, out = (1 << _CODE) - 1, None
+    for place in (2, 1, 0):
+        points, at = np.unique(codes >> place * _CODE & mask, return_inverse=True)
+        turned = np.roll(letter_vectors(points), place, axis=1)[at]
+        out = turned if out is None else out * turned
+    return out
+
+
 def vectors(block: list[np.ndarray]) -> np.ndarray:
     """The bundle of each array of trigram codes, one row each."""
-    every = np.concatenate(block) if block else np.zeros(0, np.int32)
+    every = np.concatenate(block) if block else np.zeros(0, np.int64)
+    out = np.zeros((len(block), DIMENSIONS), np.float32)
     if not len(every):
-        return np.zeros((len(block), DIMENSIONS), np.float32)
-    used = np.flatnonzero(np.bincount(every, minlength=1))
-    column = np.zeros(int(used[-1]) + 1, np.int64)
-    column[used] = np.arange(len(used))
+        return out
+    used, column = np.unique(every, return_inverse=True)
     row = np.repeat(np.arange(len(block)), [len(x) for x in block])
-    counts = np.bincount(row * len(used) + column[every], minlength=len(block) * len(used)).reshape(len(block), -1).astype(np.float32)
-    first, second, third = places()
-    bound = first[used // SYMBOLS**2] * second[used // SYMBOLS % SYMBOLS] * third[used % SYMBOLS]
-    return counts @ bound.astype(np.float32)
+    for lo in range(0, len(used), BOUND):
+        n = min(BOUND, len(used) - lo)
+        own = slice(None) if n == len(used) else (column >= lo) & (column < lo + n)
+        counts = np.bincount(row[own] * n + column[own] - lo, minlength=len(block) * n).reshape(len(block), n)
+        out += counts.astype(np.float32) @ bound(used[lo : lo + n]).astype(np.float32)
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -92,33 +104,43 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict[str, list[float]]:
-    """Language vectors from rows with a label, about ``per_language`` texts for each, chosen by a hash of the id."""
+    """Language vectors from rows with a label, about ``per_language`` texts for each, chosen by a hash of the id.
+
+    Of more than MOST_LANGUAGES labels the commonest are learned, equal ones by
+    name.  Vectors are added up as whole numbers, so that their order is nothing.
+    """
     ready(docs.sparkSession)
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sorted(counts.items())], "lang string, share double")
     chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
+    def packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "v"])
+
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, block in _blocks(texts):
-                for lang, v in zip(langs[at : at + len(block)], unit(vectors(block)), strict=True):
-                    sums[lang] = sums[lang] + v if lang in sums else v.astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums)), "v": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))})
-
-    # The chosen texts are bounded, so a fixed number of tasks holds them.
-    parts = chosen.select("lang", "text").repartition(12, F.xxhash64("text")).mapInArrow(bundle, "lang string, v array<double>").collect()
-    found: dict[str, np.ndarray] = {}
-    for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
-        found[r["lang"]] = found.get(r["lang"], 0) + np.array(r["v"])
-    return {k: v.tolist() for k, v in sorted(found.items())}
+                for lang, v in zip(langs[at : at + len(block)], np.rint(unit(vectors(block)) * STEPS).astype("<i8"), strict=True):
+                    sums[lang] = sums[lang] + v if lang in sums else v
+        yield packed(sums)
+
+    def total(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(v, "<i8")
+        yield packed(sums)
+
+    # Texts are dealt out by their ids, languages by name; one row a language comes to the driver.
+    parts = chosen.repartition(F.xxhash64("id")).select("lang", "text").mapInArrow(bundle, "lang string, v binary")
+    rows = parts.repartition("lang").mapInArrow(total, "lang string, v binary").collect()
+    return {r["lang"]: np.frombuffer(r["v"], "<i8").astype(np.float64).tolist() for r in sorted(rows, key=lambda r: r["lang"])}
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
