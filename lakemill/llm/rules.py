@@ -29,7 +29,8 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: Starting share of good documents, the votes expected of good and of bad ones, and the weight of these beliefs in documents.
 PRIOR, BELIEF = 0.85, 20.0
 BELIEVED = ({"+": 0.45, "0": 0.53, "-": 0.02}, {"+": 0.2, "0": 0.4, "-": 0.4})
-ROUNDS = 100
+#: Estimation ends when no share or chance moves by more than this, or after so many rounds.
+STILL, ROUNDS = 1e-9, 2000
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -81,14 +82,16 @@ def votes(f: Column) -> dict[str, Column]:
 
     share = lambda part, whole: F.coalesce(F.try_divide(f[part].cast("double"), f[whole].cast("double")), F.lit(0.0))
     length, symbols, repeats = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
-    lines, upper, shouts, distinct = share("n_dup_lines", "n_lines"), share("n_upper", "word_chars"), share("n_shouts", "n_words"), share("n_distinct", "n_words")
+    lines, upper, shouts = share("n_dup_lines", "n_lines"), share("n_upper", "word_chars"), share("n_shouts", "n_words")
+    # Logarithms, as the share of different words itself falls with the length of any text.
+    variety = F.when(f["n_words"] > 1, F.ln(f["n_distinct"].cast("double")) / F.ln(f["n_words"].cast("double"))).otherwise(1.0)
     plain = length.between(3.0, 10.0) & (symbols < 0.05) & (upper < 0.2) & (shouts < 0.05)
     return {
         "symbols": vote(symbols > 0.15),
         "shouting": vote(upper > 0.4),
         "exclamations": vote(shouts > 0.2),
         "lines": vote(lines > 0.4),
-        "variety": vote((distinct < 0.25) & (f["n_words"] < 1000)),
+        "variety": vote(variety < 0.6),
         "repeats": vote(repeats > 0.3, repeats < 0.1),
         "prose": vote((symbols > 0.15) | (upper > 0.4) | (shouts > 0.2) | (length > 20.0), plain),
     }
@@ -110,22 +113,24 @@ def fit(counts: dict[str, int]) -> Model:
     BELIEF documents of each kind that were seen before.
     """
     total, m = sum(counts.values()), max((len(p) for p in counts), default=0)
-    share, chances = PRIOR, [(dict(BELIEVED[0]), dict(BELIEVED[1])) for _ in range(m)]
+    model: Model = (PRIOR, [(dict(BELIEVED[0]), dict(BELIEVED[1])) for _ in range(m)])
     for _ in range(ROUNDS):
         mass = [BELIEF * PRIOR, BELIEF * (1 - PRIOR)]
         seen = [tuple({v: BELIEF * x for v, x in kind.items()} for kind in BELIEVED) for _ in range(m)]
+        base, each = math.log(model[0] / (1 - model[0])), weights(model)
         for p, n in sorted(counts.items()):
-            good = 1 / (1 + math.exp(-log_odds((share, chances), p)))
+            z = base + sum(w[v] for w, v in zip(each, p, strict=True))
+            good = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
             for kind, part in enumerate((good, 1 - good)):
                 mass[kind] += n * part
                 for j, v in enumerate(p):
                     seen[j][kind][v] += n * part
-        new_share = min(0.99, max(0.5, mass[0] / (total + BELIEF)))
-        done = abs(new_share - share) < 1e-9
-        share, chances = new_share, [tuple({v: x / sum(kind.values()) for v, x in kind.items()} for kind in rule) for rule in seen]
-        if done:
+        new: Model = (mass[0] / (total + BELIEF), [tuple({v: x / sum(kind.values()) for v, x in kind.items()} for kind in rule) for rule in seen])
+        moved = [abs(new[0] - model[0])] + [abs(x[v] - y[v]) for a, b in zip(new[1], model[1], strict=True) for x, y in zip(a, b, strict=True) for v in x]
+        model = new
+        if max(moved) < STILL:
             break
-    return share, chances
+    return model
 
 
 def weights(model: Model) -> list[dict[str, float]]:
