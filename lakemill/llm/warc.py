@@ -1,10 +1,11 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are dealt into shards by ranges of their id, and each shard is sorted and
-written by one task as a run of ``.warc.gz`` files; a new file begins when the
-compressed size of the last one reaches a limit.  The ranges come from exact
-counts over fixed steps of the id, so that the same pages give the same files,
-however the input is partitioned.  Headers and digests are made anew from the
+Pages are dealt into shards by ranges of their id and their payload's digest, and
+each shard is sorted and written by one task as a run of ``.warc.gz`` files; a
+new file begins when the compressed size of the last one reaches a limit.  The
+ranges come from a sample of bounded size that a hash of the pages' keys takes,
+so that the same pages give the same files, however the input is partitioned.
+Headers and digests are made anew from the
 pages, and every record is a gzip member of its own.
 
 A file is written under a temporary name, which holds the task attempt, and
@@ -21,14 +22,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm.common import ready
 
-#: Payload bytes of a shard, compressed bytes of a file, smallest payload that is deduplicated, and the most steps of the id range.
-SHARD_BYTES, FILE_BYTES, MIN_DEDUP, MOST_STEPS = 16 << 20, 16 << 20, 1000, 65_536
+#: Payload bytes of a shard, compressed bytes of a file, smallest payload that is deduplicated, and about how many pages are sampled for the shards' ranges.
+SHARD_BYTES, FILE_BYTES, MIN_DEDUP, SAMPLE = 16 << 20, 16 << 20, 1000, 65_536
+#: Sampled pages that a shard must have at least, so that its size comes out near the others'.
+PER_SHARD = 4
 SALTS, LEVEL = 64, 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,24 +117,40 @@ def _revisits(rows: DataFrame, min_dedup: int) -> DataFrame:
     return big.join(heads, ["sha", "salt"]).where(F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))).select("id", "digest", "head").distinct()
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, Column]:
-    """A table (step, shard) of at most MOST_STEPS rows, the number of shards, and the step of a row."""
-    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum(F.octet_length("payload").cast("long") + 500)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    steps = min(MOST_STEPS, max(64, 16 * ((total or 0) // shard_bytes + 1)))
-    width = max(1, -(-(high - low + 1) // steps))
-    step = F.coalesce(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")), F.lit(MOST_STEPS)).cast("int")
-    sizes = rows.groupBy(step.alias("step")).agg(F.sum(F.octet_length("payload").cast("long") + 500).alias("size")).orderBy("step").collect()
-    table, shard, filled = [], 0, 0
-    for r in sizes:
-        if filled >= shard_bytes:
-            shard, filled = shard + 1, 0
-        table.append((r["step"], shard))
-        filled += r["size"]
-    return rows.sparkSession.createDataFrame(table, "step int, shard int"), shard + 1, step
-
-
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_dedup: int = MIN_DEDUP) -> DataFrame:
+def _key(digest: Column) -> Column:
+    """The first 60 bits of a hex digest, in the digests' order."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _shards(rows: DataFrame, shard_bytes: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (id, key of the digest) at which new shards begin; a null id is the least.
+
+    ``rows`` has id, digest and size.  Pages with one key go into one shard.
+    """
+    found = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    every = -(-found["n"] // sample) or 1
+    taken = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), _key(F.col("digest")).alias("key"), "size").where(F.pmod(F.xxhash64("id", "key"), F.lit(every)) == 0)
+    taken = sorted(map(tuple, taken.groupBy("id", "key").agg(F.sum("size").alias("size")).collect()))
+    total = sum(size for *_, size in taken)
+    shards = max(1, min((found["size"] or 0) // shard_bytes + 1, len(taken) // PER_SHARD))
+    cuts, filled = [], 0
+    for ident, key, size in taken:
+        if filled >= total / shards * (len(cuts) + 1):
+            cuts.append((ident, key))
+        filled += size
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+
+def _shard_of(ids: np.ndarray, keys: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of cuts at or before each (id, key)."""
+    low, high = np.searchsorted(cuts[0], ids, "left"), np.searchsorted(cuts[0], ids, "right")
+    for k in np.unique(low[low < high]).tolist():  # ids at which shards begin
+        some = np.flatnonzero((low == k) & (high > k))
+        low[some] += np.searchsorted(cuts[1][k : high[some[0]]], keys[some], "right")
+    return low
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_dedup: int = MIN_DEDUP, sample: int = SAMPLE) -> DataFrame:
     """Write every page to ``folder`` and return the committed manifest.
 
     Null html is an empty payload.  Of equal payloads of at least ``min_dedup``
@@ -138,18 +158,24 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     repeated rows of that page are all responses.  A null id counts below every
     other; pages whose equals all have null ids are responses.  A null url gives
     a record without a target.  Other columns are not read.  An empty table gives
-    an empty manifest.
+    an empty manifest.  Shards grow beyond ``shard_bytes`` where ``sample`` pages
+    can't tell so many apart.
     """
-    ready(pages.sparkSession)
+    spark = ready(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    steps, n_shards, step = _shards(rows, shard_bytes)
+    cuts = _shards(rows.select("id", F.sha1("payload").alias("digest"), (F.octet_length("payload").cast("long") + 500).alias("size")), shard_bytes, sample)
+    n_shards, shipped = len(cuts[0]) + 1, spark.sparkContext.broadcast(cuts)  # 16 bytes a cut, of which there are fewer than sampled pages
+
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.array(_shard_of(ids.to_numpy(), keys.to_numpy(), shipped.value), pa.int32())
 
     def sharded(df: DataFrame) -> DataFrame:
-        return df.withColumn("step", step).join(F.broadcast(steps), "step").drop("step")
+        return df.withColumn("shard", shard(F.coalesce("id", F.lit(-(2**63))), _key(F.col("digest"))))
 
     # A page's mark comes before the page itself; so one pass over a sorted shard joins them.
     marks = sharded(_revisits(rows, min_dedup)).select("shard", "id", "digest", F.lit(0).alias("kind"), "head", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    whole = sharded(rows).select("shard", "id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("head"), "url", "payload")
+    whole = sharded(rows.withColumn("digest", F.sha1("payload"))).select("shard", "id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("head"), "url", "payload")
     placed = marks.unionByName(whole).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind", "url")
 
     def archive(batches: Iterator) -> Iterator:
