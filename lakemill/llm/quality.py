@@ -70,7 +70,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     ``labels`` holds the rows that may be learned from.  Labels other than 0 and
     1 and null ids are left out; a repeated id counts once, with its larger
-    label.  None if there is nothing to learn from.
+    label and, of its texts, that whose vector has the least bytes.  None if there is nothing to learn from.
     """
     ready(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -83,7 +83,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id"))
     kind = docs.schema[id_col].dataType.simpleString()
-    got = chosen.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, v binary").dropDuplicates(["id"]).collect()
+    got = chosen.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, v binary")
+    got = got.groupBy("id").agg(F.max("label").alias("label"), F.min("v").alias("v")).collect()
     if not got:
         return None
     got.sort(key=lambda r: r["id"])
