@@ -35,8 +35,8 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (a local session in a test) a
-    temporary folder takes its place.
+    Only where ``spark.checkpoint.dir`` is unset in a local session, as in a test,
+    a temporary folder takes its place; a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakemill-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -93,13 +93,14 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Each stage ranks equal texts and keeps the first.  The rank limit runs
     before the shuffle as well, which is the local stage.  Rows that agree in
-    id and text count as repeats of one row; any one of them stays.
+    length and id go by their texts; those that agree in the text, too, count as
+    repeats of one row, and any one of them stays.
     """
     names = docs.columns
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("raw"))
     kept = kept.select("row", "id", F.char_length("raw").alias("len"), normalised(F.col("raw")).alias("norm"))
     kept = kept.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    order = [F.col("len").desc(), F.col("id").asc_nulls_last()]
+    order = [F.col("len").desc(), F.col("id").asc_nulls_last(), F.col(f"row.`{text_col}`").asc_nulls_last()]
     for keys in (["sha", "salt", "norm"], ["sha", "norm"]):
         kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
     return kept.select("row.*")
