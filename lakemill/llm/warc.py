@@ -31,8 +31,8 @@ from lakemill.llm.common import ready
 
 #: Payload bytes of a shard, compressed bytes of a file, smallest payload that is deduplicated, and about how many pages are sampled for the shards' ranges.
 SHARD_BYTES, FILE_BYTES, MIN_DEDUP, SAMPLE = 16 << 20, 16 << 20, 1000, 65_536
-#: Sampled pages that a shard must have at least, so that its size comes out near the others'.
-PER_SHARD = 4
+#: Sampled pages that a shard should have, so that its size comes out near the others', that it must have, and that are sampled at least.
+PER_SHARD, LEAST_PER_SHARD, LEAST_SAMPLE = 64, 4, 1024
 SALTS, LEVEL = 64, 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,11 +128,12 @@ def _shards(rows: DataFrame, shard_bytes: int, sample: int) -> tuple[np.ndarray,
     ``rows`` has id, digest and size.  Pages with one key go into one shard.
     """
     found = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    every = -(-found["n"] // sample) or 1
+    shards = (found["size"] or 0) // shard_bytes + 1
+    every = max(1, -(-found["n"] // min(sample, max(LEAST_SAMPLE, PER_SHARD * shards))))
     taken = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), _key(F.col("digest")).alias("key"), "size").where(F.pmod(F.xxhash64("id", "key"), F.lit(every)) == 0)
     taken = sorted(map(tuple, taken.groupBy("id", "key").agg(F.sum("size").alias("size")).collect()))
     total = sum(size for *_, size in taken)
-    shards = max(1, min((found["size"] or 0) // shard_bytes + 1, len(taken) // PER_SHARD))
+    shards = max(1, min(shards, len(taken) // LEAST_PER_SHARD))
     cuts, filled = [], 0
     for ident, key, size in taken:
         if filled >= total / shards * (len(cuts) + 1):
