@@ -128,6 +128,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # Names without nulls, so that plain equality joins carry the null source.
     rows = rows.withColumn("name", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
 
+    if keep is not None:  # rows are small then: they are written once, not counted twice
+        rows = checkpointed(rows)
     parts = checkpointed(rows.groupBy("name", "shard").agg(F.sum("size").alias("words")))  # used twice, but counted once
     sizes = parts.groupBy("name").agg(F.sum("words").alias("source_size"))
     goals = targets(sizes.withColumnRenamed("name", "source"), weights, cap).withColumnRenamed("source", "name")
