@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakemill.functions.registry import bigint, double, none_null, simple, sql_function
+from lakemill.functions.registry import bits, double, none_null, simple, sql_function
 
 D0, D1 = double("{0}"), double("{1}")
 
@@ -41,7 +41,7 @@ simple("log", f"CASE WHEN {D0} > 0 AND {D1} > 0 AND {D0} <> 1 THEN ln({D1}) / ln
 simple("pi", "pi()")
 simple("pow", f"power({D0}, {D1})")
 simple("power", f"power({D0}, {D1})")
-simple("bit_count", f"CAST(bit_count({bigint('{0}')}) AS BIGINT)")
+simple("bit_count", f"CAST(bit_count({bits('{0}')}) AS BIGINT)")
 
 
 @sql_function("rand")

@@ -45,6 +45,20 @@ def bigint(x: str) -> str:
     return f"try_cast({x} AS BIGINT)"
 
 
+#: The type of unsigned 64-bit values.
+UNSIGNED = "DECIMAL(20,0)"
+
+
+def bits(x: str) -> str:
+    """A signed or unsigned 64-bit value as BIGINT with the same bits."""
+    return f"coalesce({bigint(x)}, CAST(try_cast({x} AS {UNSIGNED}) - 18446744073709551616 AS BIGINT))"
+
+
+def unsigned(x: str) -> str:
+    """The bits of a BIGINT as a number from 0."""
+    return f"CAST(CAST({x} AS {UNSIGNED}) + CASE WHEN {x} < 0 THEN 18446744073709551616 ELSE 0 END AS {UNSIGNED})"
+
+
 def text(x: str) -> str:
     return f"CAST({x} AS STRING)"
 

@@ -179,5 +179,8 @@ def _json_array(*args: str) -> str:
 def _json_object(*args: str) -> str:
     if len(args) % 2:
         return "CAST(NULL AS STRING)"
-    fields = ", ".join(map(text, args))
-    return f"to_json(map({fields}))" if args else "'{}'"
+    if not args:
+        return "'{}'"
+    quoted = [f"substring(to_json(array({text(x)})), 2, length(to_json(array({text(x)}))) - 2)" for x in args]
+    fields = ", ',', ".join(f"{k}, ':', {v}" for k, v in zip(quoted[::2], quoted[1::2], strict=True))
+    return none_null(args[::2], f"concat('{{', {fields}, '}}')")
