@@ -1,8 +1,9 @@
 """Tables with keys on plain Parquet: DDL, DML, partitions and rollups.
 
 A table is a folder of versions.  A statement writes a new version beside the
-current one and then replaces the pointer file, so that readers see the old
-state or the new one and a failed statement leaves no trace.  Appends share the
+current one and then the next numbered pointer file, which must not be there
+yet: readers see the old state or the new one, a failed statement leaves no
+trace, and of two statements at once the later one fails.  Appends share the
 files of earlier versions by listing their folders.  Rows are found and merged
 with joins on the key; nothing is collected.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -19,13 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-POINTER = "current.json"
+#: Pointer files: the one with the highest number holds; the one before it stays for readers that have just looked.
+POINTER = re.compile(r"current-(\d{10})\.json")
+#: The folder column of tables that are partitioned by ranges or hashes.
+PART = "_part"
 
 
 class DuplicateKey(ValueError):
     """A row with a key that the table has already."""
 
 
+class Conflict(RuntimeError):
+    """Another statement has changed the table meanwhile."""
+
+
 @dataclass
 class Meta:
     """What the pointer file holds."""
@@ -39,6 +48,7 @@ class Meta:
     ttl: list | None = None
     defaults: dict[str, str] = field(default_factory=dict)
     version: int = 0
+    scheme: dict | None = None  # kind (range, hash), column, parts: names with upper bounds, or their number
 
 
 class Tables:
@@ -54,44 +64,56 @@ class Tables:
     def _fs(self, p: str):
         return self._path(p).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _read_text(self, p: str) -> str | None:
-        fs = self._fs(p)
-        if not fs.exists(self._path(p)):
-            return None
-        return "".join(r[0] for r in self.spark.read.text(p, wholetext=True).collect())
+    def _pointers(self, name: str) -> list[int]:
+        """The numbers of a table's pointer files, the highest first."""
+        fs, home = self._fs(self.root), self._path(self._home(name))
+        if not fs.exists(home):
+            return []
+        found = (POINTER.fullmatch(f.getPath().getName()) for f in fs.listStatus(home))
+        return sorted((int(m[1]) for m in found if m), reverse=True)
 
-    def _write_text(self, p: str, text: str) -> None:
-        fs, temporary = self._fs(p), f"{p}.{uuid.uuid4().hex}"
-        out = fs.create(self._path(temporary), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        fs.delete(self._path(p), False)
-        if not fs.rename(self._path(temporary), self._path(p)):
-            raise OSError(f"cannot commit {p}")
+    def _pointer(self, name: str, version: int) -> str:
+        return posixpath.join(self._home(name), f"current-{version:010d}.json")
 
     def _home(self, name: str) -> str:
         return posixpath.join(self.root, name)
 
     def meta(self, name: str) -> Meta:
-        text = self._read_text(posixpath.join(self._home(name), POINTER))
-        if text is None:
-            raise KeyError(f"no table {name}")
-        return Meta(**json.loads(text))
+        for version in self._pointers(name):
+            text = "".join(r[0] for r in self.spark.read.text(self._pointer(name, version), wholetext=True).collect())
+            if text.endswith("}"):  # whole
+                return Meta(**json.loads(text))
+        raise KeyError(f"no table {name}")
 
     def _commit(self, name: str, meta: Meta) -> None:
         meta.version += 1
-        self._write_text(posixpath.join(self._home(name), POINTER), json.dumps(asdict(meta)))
+        fs, path = self._fs(self.root), self._path(self._pointer(name, meta.version))
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if fs.exists(path):
+                raise Conflict(f"{name} has changed meanwhile") from e
+            raise
+        out.write(bytearray(json.dumps(asdict(meta)).encode()))
+        out.close()
+        for old in self._pointers(name):
+            if old < meta.version - 1:
+                fs.delete(self._path(self._pointer(name, old)), False)
 
     # DDL
-    def create(self, name: str, schema: str, key: list[str], unique: list[list[str]] | None = None, partitions: list[str] | None = None, ttl: tuple[str, int] | None = None, defaults: dict[str, str] | None = None) -> None:
-        """``schema`` is DDL text; ``ttl`` is a timestamp column and the seconds that a row lives after it."""
+    def create(self, name: str, schema: str, key: list[str], unique: list[list[str]] | None = None, partitions: list[str] | None = None, ttl: tuple[str, int] | None = None, defaults: dict[str, str] | None = None, scheme: dict | None = None) -> None:
+        """``schema`` is DDL text; ``ttl`` is a timestamp column and the seconds that a row lives after it.
+
+        ``partitions`` are columns with a folder for each value; ``scheme`` deals rows
+        out by ranges or hashes of one column instead.
+        """
         if self.exists(name):
             raise ValueError(f"table {name} exists")
         parsed = T.StructType.fromDDL(schema)
-        self._commit(name, Meta(parsed.json(), key, unique or [], partitions or [], ttl=list(ttl) if ttl else None, defaults=defaults or {}))
+        self._commit(name, Meta(parsed.json(), key, unique or [], partitions or [], ttl=list(ttl) if ttl else None, defaults=defaults or {}, scheme=scheme))
 
     def exists(self, name: str) -> bool:
-        return self._read_text(posixpath.join(self._home(name), POINTER)) is not None
+        return bool(self._pointers(name))
 
     def names(self) -> list[str]:
         fs, root = self._fs(self.root), self._path(self.root)
@@ -165,14 +187,48 @@ class Tables:
             f.nullable = True
         if not meta.folders:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).parquet(f) for f in meta.folders]
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p)
+        df = self._files(meta, meta.folders)
         if meta.ttl:
             df = df.where(F.col(meta.ttl[0]).isNull() | (F.col(meta.ttl[0]).cast("timestamp") + F.expr(f"INTERVAL {int(meta.ttl[1])} SECOND") > F.current_timestamp()))
         return df.select(*schema.names)
 
+    def _files(self, meta: Meta, folders: list[str]) -> DataFrame:
+        """The rows of some folders, with the folder column of a partitioned table; folders with columns of the path are read apart."""
+        schema = T.StructType.fromJson(json.loads(meta.schema))
+        for f in schema:
+            f.nullable = True
+        if meta.scheme:
+            schema = schema.add(PART, T.StringType())
+        if not (meta.partitions or meta.scheme):
+            return self.spark.read.schema(schema).parquet(*folders)
+        parts = [self.spark.read.schema(schema).parquet(f) for f in folders]
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p)
+        return df
+
+    def part_of(self, meta: Meta) -> Column:
+        """The name of the part that a row belongs to: p0, p1, ... for hashes, as declared for ranges."""
+        column, parts = F.col(f"`{meta.scheme['column']}`"), meta.scheme["parts"]
+        if meta.scheme["kind"] == "hash":
+            return F.concat(F.lit("p"), F.coalesce(F.pmod(F.abs(column.cast("bigint")), F.lit(int(parts))), F.lit(0)).cast("string"))
+        out = F
+        for name, bound in parts:  # a null belongs to the first part
+            test = F.lit(True) if bound is None else column.isNull() | (column < F.expr(bound)) if out is F else column < F.expr(bound)
+            out = out.when(test, F.lit(name))
+        return out.otherwise(F.raise_error(F.lit("no partition for a row")))
+
+    def parts(self, name: str, names: list[str]) -> DataFrame:
+        """FROM t PARTITION (p0, p1): the rows of these parts; other folders are not read."""
+        meta = self.meta(name)
+        if not meta.scheme:
+            raise KeyError(f"{name} has no partitions")
+        known = {f"p{k}" for k in range(int(meta.scheme["parts"]))} if meta.scheme["kind"] == "hash" else {p for p, _ in meta.scheme["parts"]}
+        if set(names) - known:
+            raise KeyError(f"{name} has no partition {sorted(set(names) - known)[0]}")
+        df = self.read(name)
+        return self._files(meta, meta.folders).where(F.col(PART).isin(names)).select(*df.columns) if meta.folders else df
+
     def partition(self, name: str, **values: object) -> DataFrame:
         """FROM t PARTITION (...): the rows of one partition, pruned by its folder."""
         df = self.read(name)
@@ -183,8 +239,12 @@ class Tables:
     # Writing
     def _store(self, name: str, df: DataFrame, meta: Meta) -> str:
         folder = posixpath.join(self._home(name), f"v{meta.version + 1}-{uuid.uuid4().hex}")
+        if meta.scheme:
+            df = df.withColumn(PART, self.part_of(meta))
         writer = df.write
-        if meta.partitions:
+        if meta.scheme:
+            writer = writer.partitionBy(PART)
+        elif meta.partitions:
             writer = writer.partitionBy(*meta.partitions)
         writer.parquet(folder)
         return folder
@@ -194,6 +254,24 @@ class Tables:
         meta.folders = [self._store(name, df, meta)]
         self._commit(name, meta)
 
+    def _replace_checked(self, name: str, df: DataFrame, keys: list[list[str]]) -> None:
+        """Write the new state, and make it the table's only if its rows differ in each of these keys."""
+        meta = self.meta(name)
+        folder = self._store(name, df, meta)
+        written = self._files(meta, [folder])
+        for key in keys:
+            if written.dropna(subset=key).groupBy(*key).count().where("count > 1").limit(1).count():
+                self._fs(self.root).delete(self._path(folder), True)
+                raise DuplicateKey(f"{name} {key}")
+        meta.folders = [folder]
+        self._commit(name, meta)
+
+    def _numbered(self, name: str, df: DataFrame, column: str) -> tuple[DataFrame, str]:
+        """Rows with a number each that never changes, as they are written once; and their folder, to be deleted."""
+        folder = posixpath.join(self._home(name), f"_rows-{uuid.uuid4().hex}")
+        df.withColumn(column, F.monotonically_increasing_id()).write.parquet(folder)
+        return self.spark.read.parquet(folder), folder
+
     def _append(self, name: str, df: DataFrame) -> None:
         meta = self.meta(name)
         meta.folders.append(self._store(name, df, meta))
@@ -211,12 +289,13 @@ class Tables:
         return ([meta.key] if meta.key else []) + meta.unique
 
     def _once(self, name: str, rows: DataFrame, last: bool, order: Column | None = None) -> DataFrame:
-        """One row of each key; of several the last by ``order``, or any."""
+        """One row of each key: of several the first or the last by ``order``, or else as they come in."""
+        rows = rows.withColumn("_nth", F.monotonically_increasing_id() if order is None else order)
         for key in self._keys(name):
-            by = (order.desc() if last else order.asc()) if order is not None else F.lit(0)
+            by = F.col("_nth").desc() if last else F.col("_nth").asc()
             null = " OR ".join(f"`{k}` IS NULL" for k in key)
             rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(by))).where(f"_place = 1 OR {null}").drop("_place")
-        return rows
+        return rows.drop("_nth")
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Fails if a row's key is there already, or twice in ``rows``; writes nothing then."""
@@ -243,45 +322,62 @@ class Tables:
 
     def upsert(self, name: str, rows: DataFrame, update: dict[str, str]) -> None:
         """INSERT ... ON DUPLICATE KEY UPDATE; expressions see ``target.c`` and, as VALUES(c), ``source.c``."""
-        meta = self.meta(name)
-        new = self._once(name, self._fitted(name, rows), last=True)
-        old = self.read(name)
-        columns = old.columns
-        on = [F.col(f"target.{k}") == F.col(f"source.{k}") for k in meta.key]
-        both = old.withColumn("_old", F.lit(True)).alias("target").join(new.withColumn("_new", F.lit(True)).alias("source"), on, "full")
-        hit = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+        keys = self._keys(name)
+        old, held = self._numbered(name, self.read(name), "_row")
+        new, more = self._numbered(name, self._once(name, self._fitted(name, rows), last=True), "_src")
+        columns = [c for c in old.columns if c != "_row"]
+        # A new row meets the old one that shares its first key, in the order primary, unique; of two that meet one old row the last counts.
+        met: DataFrame | None = None
+        for k, key in enumerate(keys):
+            pairs = new.select(*key, "_src").join(old.select(*key, "_row"), key).select("_src", "_row", F.lit(k).alias("_k"))
+            met = pairs if met is None else met.unionByName(pairs)
+        met = met.groupBy("_src").agg(F.min(F.struct("_k", "_row")).alias("m")).select("_src", F.col("m._row").alias("_row"))
+        last = met.groupBy("_row").agg(F.max("_src").alias("_src"))
+        both = old.alias("target").join(last.alias("hit"), F.col("target._row") == F.col("hit._row"), "left").join(new.alias("source"), F.col("hit._src") == F.col("source._src"), "left")
 
         def value(c: str) -> Column:
-            kept = F.when(F.col("_old").isNotNull(), F.col(f"target.{c}")).otherwise(F.col(f"source.{c}"))
-            return F.when(hit, F.expr(update[c]).cast(old.schema[c].dataType)).otherwise(kept) if c in update else kept
+            kept = F.col(f"target.{c}")
+            return F.when(F.col("hit._src").isNotNull(), F.expr(update[c]).cast(old.schema[c].dataType)).otherwise(kept) if c in update else kept
 
-        self._replace(name, both.select(*[value(c).alias(c) for c in columns]))
+        fresh = new.join(met, "_src", "left_anti").select(*columns)
+        changed = [key for key in keys if set(key) & set(update)]
+        self._replace_checked(name, both.select(*[value(c).alias(c) for c in columns]).unionByName(fresh), changed)
+        for folder in (held, more):
+            self._fs(self.root).delete(self._path(folder), True)
 
     def insert_merge(self, name: str, rows: DataFrame, sums: list[str]) -> None:
-        """Merging insert: old and new rows of a key become one, whose ``sums`` add up."""
+        """Merging insert: old and new rows of a key become one, whose ``sums`` add up; other columns take the last value."""
         meta = self.meta(name)
-        both = self.read(name).unionByName(self._fitted(name, rows))
-        rest = [c for c in both.columns if c not in meta.key and c not in sums]
-        merged = both.groupBy(*meta.key).agg(*[F.sum(c).cast(both.schema[c].dataType).alias(c) for c in sums], *[F.last(c, ignorenulls=True).alias(c) for c in rest])
-        self._replace(name, merged.select(*both.columns))
-
-    def _chosen(self, df: DataFrame, where: str, order_by: list[Column] | None, limit: int | None) -> DataFrame:
-        """Mark the rows that a statement means as ``_hit``."""
-        hit = F.coalesce(F.expr(where).cast("boolean"), F.lit(False))
+        both = self.read(name).withColumn("_nth", F.lit(-1).cast("long")).unionByName(self._fitted(name, rows).withColumn("_nth", F.monotonically_increasing_id()))
+        rest = [c for c in both.columns if c not in meta.key and c not in sums and c != "_nth"]
+        merged = both.groupBy(*meta.key).agg(*[F.sum(c).cast(both.schema[c].dataType).alias(c) for c in sums], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_nth"))).alias(c) for c in rest])
+        self._replace(name, merged.select(*both.drop("_nth").columns))
+
+    def _chosen(self, name: str, where: str, order_by: list[Column] | None, limit: int | None) -> tuple[DataFrame, str | None]:
+        """The table's rows, those that a statement means marked as ``_hit``; and a folder to be deleted afterwards."""
+        df, hit = self.read(name), F.coalesce(F.expr(where).cast("boolean"), F.lit(False))
         if limit is None:
-            return df.withColumn("_hit", hit)
-        marked = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hit", hit)
-        first = marked.where("_hit").orderBy(*(order_by or []), "_row").limit(limit).select("_row", F.lit(True).alias("_top"))
-        return marked.join(first, "_row", "left").withColumn("_hit", F.coalesce("_top", F.lit(False))).drop("_row", "_top")
+            return df.withColumn("_hit", hit), None
+        numbered, folder = self._numbered(name, df, "_row")
+        first = numbered.where(hit).orderBy(*(order_by or []), "_row").limit(limit).select("_row", F.lit(True).alias("_top"))
+        return numbered.join(first, "_row", "left").withColumn("_hit", F.coalesce("_top", F.lit(False))).drop("_row", "_top"), folder
 
     def update(self, name: str, assignments: dict[str, str], where: str = "true", order_by: list[Column] | None = None, limit: int | None = None) -> None:
-        df = self.read(name)
-        marked = self._chosen(df, where, order_by, limit)
-        self._replace(name, marked.select(*[F.when(F.col("_hit"), F.expr(assignments[c]).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c) for c in df.columns]))
+        """Fails, and changes nothing, if rows would share a key."""
+        marked, folder = self._chosen(name, where, order_by, limit)
+        columns = [c for c in marked.columns if c != "_hit"]
+        state = marked.select(*[F.when(F.col("_hit"), F.expr(assignments[c]).cast(marked.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c) for c in columns])
+        try:
+            self._replace_checked(name, state, [key for key in self._keys(name) if set(key) & set(assignments)])
+        finally:
+            if folder:
+                self._fs(self.root).delete(self._path(folder), True)
 
     def delete(self, name: str, where: str = "true", order_by: list[Column] | None = None, limit: int | None = None) -> None:
-        df = self.read(name)
-        self._replace(name, self._chosen(df, where, order_by, limit).where("NOT _hit").select(*df.columns))
+        marked, folder = self._chosen(name, where, order_by, limit)
+        self._replace(name, marked.where("NOT _hit").drop("_hit"))
+        if folder:
+            self._fs(self.root).delete(self._path(folder), True)
 
     def truncate(self, name: str, **partition: object) -> None:
         """Without arguments the whole table, else one partition."""
