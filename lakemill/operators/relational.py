@@ -71,11 +71,10 @@ def group_concat(value: Column, separator: str = ",", distinct: bool = False, or
     text = value.cast("string")
     if order is None:
         return (F.listagg_distinct if distinct else F.listagg)(text, F.lit(separator))
-    if distinct:
-        items = F.array_sort(F.collect_set(text))
-        return F.when(F.size(items) > 0, F.array_join(items, separator))
-    pairs = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], text.alias("v")))))
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(pairs, lambda p: p["v"]), separator))
+    pair = F.when(text.isNotNull(), F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], text.alias("v")))
+    items = F.transform(F.array_sort((F.collect_set if distinct else F.collect_list)(pair)), lambda p: p["v"])
+    items = F.array_distinct(items) if distinct else items  # each value at its first place
+    return F.when(F.size(items) > 0, F.array_join(items, separator))
 
 
 def count_rows(*columns: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lakemill.operators import relational as rel
 from lakemill.operators import search
-from lakemill.plans.tables import Tables
+from lakemill.plans.statements import Engine
+from lakemill.plans.tables import DuplicateKey, Tables
 from lakemill.sources import external, files
 from lakemill.streaming import changes
 
@@ -38,9 +39,9 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lakemill-{uuid.uuid4().hex}"
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def rel_not_in(spark, sf_dir):
-    return rel.not_in(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    return rel.not_in(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_totalprice > 150000"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size > ALL (SELECT p_size FROM part WHERE p_size < 20)")
@@ -228,8 +229,105 @@ def change_apply(spark, sf_dir):
     return changes.apply(before, changes.changes(before, after, ["c_custkey"], 100), ["c_custkey"]).select("c_custkey", "c_acctbal")
 
 
-@query("SELECT 'schema_view' AS table_name, 'r_name' AS column_name, 2 AS ordinal_position")
+@query("SELECT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer')")
 def information_schema(spark, sf_dir):
-    _t(spark, sf_dir, "region").createOrReplaceTempView("schema_view")
+    for name in ("region", "nation", "customer"):
+        _t(spark, sf_dir, name).createOrReplaceTempView(name)
     found = external.information_schema(spark, "columns")
-    return found.where("table_name = 'schema_view' AND column_name = 'r_name'").select("table_name", "column_name", "ordinal_position")
+    return found.where("table_name IN ('region', 'nation', 'customer')").select("table_name", "column_name", "ordinal_position")
+
+
+def _engine(spark, sf_dir) -> Engine:
+    """An engine with the customers as a table whose names are unique."""
+    _t(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    engine = Engine(spark, _scratch(spark))
+    engine.execute("CREATE TABLE c (k BIGINT, name VARCHAR(64), nation INT DEFAULT 7, bal DOUBLE, PRIMARY KEY (k), UNIQUE KEY u (name))")
+    engine.execute("INSERT INTO c SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+    return engine
+
+
+_K = "SELECT c_custkey AS k, c_name AS name, c_nationkey AS nation, c_acctbal AS bal FROM customer"
+
+
+@query(f"SELECT k, name, CASE WHEN k % 3 = 0 THEN nation + 100 ELSE nation END AS nation, bal FROM ({_K}) UNION ALL SELECT k + 1000000, name || 'x', nation, bal FROM ({_K}) WHERE k % 3 = 1")
+def dml_upsert_unique(spark, sf_dir):
+    """New keys whose unique names are there already update those rows; others are inserted."""
+    engine = _engine(spark, sf_dir)
+    engine.execute("INSERT INTO c SELECT c_custkey + 1000000, IF(c_custkey % 3 = 0, c_name, concat(c_name, 'x')), c_nationkey, c_acctbal FROM customer WHERE c_custkey % 3 < 2 ON DUPLICATE KEY UPDATE nation = nation + 100")
+    return engine.execute("SELECT k, name, nation, bal FROM c")
+
+
+@query(f"SELECT k, name, nation, bal, 2 AS refused FROM ({_K})")
+def dml_update_conflict(spark, sf_dir):
+    """An UPDATE that would give two rows one key is refused and changes nothing."""
+    engine, refused = _engine(spark, sf_dir), 0
+    for statement in ("UPDATE c SET name = 'a'", "UPDATE c SET k = 1 WHERE nation < 3"):
+        try:
+            engine.execute(statement)
+        except DuplicateKey:
+            refused += 1
+    return engine.execute("SELECT k, name, nation, bal FROM c").withColumn("refused", F.lit(refused))
+
+
+@query(f"SELECT k, name, CASE WHEN k <= 10 THEN 7 ELSE nation END AS nation, bal FROM ({_K}) WHERE NOT (bal < 0) AND k NOT IN (SELECT k FROM ({_K}) WHERE NOT (bal < 0) ORDER BY bal DESC, k LIMIT 5)")
+def dml_statements(spark, sf_dir):
+    """DEFAULT, DELETE by order and limit, and data changes in the words of DDL."""
+    engine = _engine(spark, sf_dir)
+    engine.execute("UPDATE c SET nation = DEFAULT(nation) WHERE k <= 10")
+    engine.execute("ALTER TABLE c MODIFY COLUMN DELETE WHERE bal < 0")
+    engine.execute("DELETE FROM c ORDER BY bal DESC, k LIMIT 5")
+    return engine.execute("SELECT k, name, nation, bal FROM c")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey % 100 >= 10 AND o_totalprice >= 100000")
+def table_range_partitions(spark, sf_dir):
+    """RANGE partitions: one is truncated, two are read."""
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    engine = Engine(spark, _scratch(spark))
+    engine.execute("CREATE TABLE o (k BIGINT, price DOUBLE, PRIMARY KEY (k)) PARTITION BY RANGE (price) (PARTITION low VALUES LESS THAN (100000), PARTITION mid VALUES LESS THAN (200000), PARTITION high VALUES LESS THAN MAXVALUE)")
+    engine.execute("INSERT INTO o SELECT o_orderkey, o_totalprice FROM orders")
+    engine.execute("DELETE FROM o WHERE k % 100 < 10")
+    engine.execute("TRUNCATE TABLE o PARTITION (low)")
+    return engine.execute("SELECT k, price FROM o PARTITION (mid, high)")
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 = 3")
+def table_hash_partitions(spark, sf_dir):
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    engine = Engine(spark, _scratch(spark))
+    engine.execute("CREATE TABLE o (k BIGINT, price DOUBLE, PRIMARY KEY (k)) PARTITION BY HASH (k) PARTITIONS 4")
+    engine.execute("INSERT INTO o SELECT o_orderkey, o_totalprice FROM orders")
+    return engine.execute("SELECT o.k FROM o PARTITION (p3)")
+
+
+@query("SELECT c_nationkey AS nation, sum(c_acctbal)::DECIMAL(18, 2)::DOUBLE AS bal, count(*) AS n FROM customer GROUP BY c_nationkey")
+def statements_views(spark, sf_dir):
+    """CREATE VIEW, ALTER VIEW, PREPARE and EXECUTE."""
+    engine = _engine(spark, sf_dir)
+    engine.execute("CREATE VIEW v AS SELECT k FROM c")
+    engine.execute("ALTER VIEW v AS SELECT nation, bal FROM c")
+    engine.execute("PREPARE s FROM 'SELECT nation, round(sum(bal), 2) bal, count(*) n FROM v GROUP BY nation'")
+    return engine.execute("EXECUTE s")
+
+
+@query("SELECT 'k' AS column_name, count(*) AS n_rows, 0 AS n_nulls FROM customer UNION ALL SELECT 'nation', count(*), count(*) FILTER (c_nationkey = 3) FROM customer")
+def statements_analyze(spark, sf_dir):
+    engine = _engine(spark, sf_dir)
+    engine.execute("UPDATE c SET nation = NULL WHERE nation = 3")
+    return engine.execute("ANALYZE TABLE c").where("column_name IN ('k', 'nation')").select("column_name", "n_rows", "n_nulls")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation")
+def export_and_load(spark, sf_dir):
+    """Full export as text, and LOAD DATA of it."""
+    path, engine = _scratch(spark), Engine(spark, _scratch(spark))
+    files.export_text(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    engine.execute("CREATE TABLE n (k BIGINT PRIMARY KEY, name VARCHAR(64))")
+    engine.execute(f"LOAD DATA INFILE '{path}' INTO TABLE n")
+    return engine.execute("SELECT k, name FROM n")
+
+
+@query("SELECT n_regionkey, string_agg(n, ';' ORDER BY n DESC) AS names FROM (SELECT DISTINCT n_regionkey, left(n_name, 1) AS n FROM nation) GROUP BY n_regionkey")
+def rel_group_concat_distinct(spark, sf_dir):
+    first = F.left(F.col("n_name"), F.lit(1))
+    return _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(rel.group_concat(first, ";", distinct=True, order=[-F.ascii(first)]).alias("names"))
