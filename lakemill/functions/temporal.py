@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime as datetime_of
 
 from lakemill.functions.registry import FUNCTIONS, bigint, none_null, sql_function, text, unquoted
 
@@ -17,13 +18,25 @@ _DELIMITED = r"^\\s*([0-9]{4}|[0-9]{2})[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})(?:
 _COMPACT = r"^\\s*([0-9]{4}|[0-9]{2})([0-9]{2})([0-9]{2})(?:([0-9]{2})([0-9]{2})([0-9]{2}))?\\s*$"
 _TIME = r"^\\s*(-?)([0-9]+):([0-9]{1,2})(?::([0-9]{1,2}))?(?:[.][0-9]*)?\\s*$"
 _EPOCH_DAYS = 719_528
+_PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?")
+
+
+def _read(x: str) -> str:
+    """A literal that is plainly a datetime is read here, not for each row."""
+    plain = unquoted(x)
+    if plain is None or not _PLAIN.fullmatch(plain):
+        return x
+    try:
+        return f"TIMESTAMP_NTZ'{datetime_of.fromisoformat(plain)}'"
+    except ValueError:
+        return x
 
 
 def simple(name: str, template: str) -> None:
     """Like the registry's, for templates that hold braces of patterns."""
 
     def build(*args: str) -> str:
-        out = template
+        out, args = template, tuple(map(_read, args))
         for i, a in enumerate(args):
             out = out.replace(f"{{{i}}}", f"\0{i}\0")
         for i, a in enumerate(args):
@@ -59,6 +72,7 @@ def datetime(x: str) -> str:
     """
     if re.fullmatch(r"\d+", x.strip()):
         x = f"'{x.strip()}'"
+    x = _read(x)
     read = lambda s: f"coalesce(CASE WHEN {s} LIKE '____-__-__%' THEN try_cast({s} AS TIMESTAMP_NTZ) END, {_built(s, _DELIMITED, True)}, {_built(s, _COMPACT, False)})"
     return f"CASE WHEN typeof({x}) IN ('timestamp_ntz', 'timestamp', 'date') THEN try_cast({x} AS TIMESTAMP_NTZ) ELSE {bound(text(x), read)} END"
 
@@ -73,7 +87,9 @@ def seconds(x: str) -> str:
     total = f"({parts[0]} * 3600 + {parts[1]} * 60 + coalesce({parts[2]}, 0))"
     of_time = bound(text(x), lambda v: f"CASE WHEN regexp_extract({v}, '{_TIME}', 1) = '-' THEN -{total} ELSE {total} END")
     of_day = bound(datetime(x), lambda v: f"CAST(hour({v}) * 3600 + minute({v}) * 60 + floor(second({v})) AS BIGINT)")
-    return f"CASE WHEN {text(x)} RLIKE '{_TIME}' THEN {of_time} ELSE {of_day} END"
+    t = f"try_cast({x} AS TIMESTAMP_NTZ)"
+    direct = f"CAST(hour({t}) * 3600 + minute({t}) * 60 + floor(second({t})) AS BIGINT)"
+    return f"CASE WHEN typeof({x}) IN ('timestamp_ntz', 'timestamp', 'date') THEN {direct} WHEN {text(x)} RLIKE '{_TIME}' THEN {of_time} ELSE {of_day} END"
 
 
 def clock(n: str) -> str:

@@ -20,6 +20,8 @@ _FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 _WORD = r"[A-Za-z0-9_\\u00C0-\\u024F]+|[\\u3400-\\u9FFF\\uF900-\\uFAFF]"
 SEGMENTERS = ("none", "unigram", "bigram", "standard")
+#: Word segmenters that need dictionaries which are not here; the standard one takes their place.
+EXTERNAL = ("wordrank", "wordrank_q2b_icase", "wordrank_q2b_icase_unlimit", "wordseg_basic")
 
 
 def folded(text: Column) -> Column:
@@ -30,12 +32,13 @@ def folded(text: Column) -> Column:
 def segments(text: Column, segmenter: str = "standard") -> Column:
     """The terms of a text: ``none`` (whole), character ``unigram`` or ``bigram``, or ``standard`` (words and single CJK characters)."""
     t = folded(F.coalesce(text, F.lit("")))
+    segmenter = "standard" if segmenter.lower() in EXTERNAL else segmenter
     if segmenter == "none":
         return F.filter(F.array(t), lambda x: x != "")
     if segmenter == "standard":
         return F.regexp_extract_all(t, F.lit(_WORD.replace("\\\\", "\\")), F.lit(0))
     if segmenter not in SEGMENTERS:
-        raise ValueError(f"unknown segmenter {segmenter!r}; external ones fall back to 'standard'")
+        raise ValueError(f"unknown segmenter {segmenter!r}")
     n = 1 if segmenter == "unigram" else 2
     clean = F.regexp_replace(t, r"\s+", "")
     size = F.char_length(clean)
@@ -88,7 +91,8 @@ def match_sql(columns: list[str], query: str, boolean: bool) -> str:
     if not boolean:
         must, never, may = [], [], must + never + may
     text = f"concat_ws(' ', {', '.join(columns)})"
-    terms = f"regexp_extract_all(lower({text}), {literal(_WORD.replace(chr(92) * 2, chr(92)))}, 0)"
+    half = f"lower(translate({text}, {literal(_FULL_WIDTH)}, {literal(_HALF_WIDTH)}))"
+    terms = f"regexp_extract_all({half}, {literal(_WORD.replace(chr(92) * 2, chr(92)))}, 0)"
     listed = lambda words: f"array({', '.join(map(literal, sorted(set(words))))})"
     parts = [f"array_contains({terms}, {literal(w)})" for w in sorted(set(must))]
     if never:
