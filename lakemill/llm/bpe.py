@@ -16,6 +16,7 @@ The vocabulary is a parameter, read on the driver and broadcast (1.5 MB).
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from functools import lru_cache
@@ -30,6 +31,8 @@ from lakemill.llm.common import batches_of_rows, ready, text_of
 #: The splitting pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF_CHARS = 32_768
+#: Bytes of text that a task holds at once.
+BATCH_BYTES = 4 << 20
 #: Tokens that both encodings must share for a splice, and bytes kept away from a cut.
 AGREE, MARGIN = 4, 32
 
@@ -128,15 +131,8 @@ def _shipped(spark: SparkSession, path: str | None):
         return ready(spark).sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Encode whole texts.
-
-    Returns ``id_col``, ``ids`` (binary, little-endian unsigned 32-bit) and
-    ``n_tokens``, one row per input row.  Null and empty texts have no tokens; a
-    null id stays null; repeated rows stay repeated; other columns of the input
-    are not read.  Special-token strings in a text become their ids.
-    """
-    spec = _shipped(docs.sparkSession, path)
+def _split(docs: DataFrame, id_col: str, text_col: str, spec, leaf_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, text) of the texts that fit into a leaf, and (key, ids) of the others, encoded by tree concatenation."""
 
     @F.arrow_udf("binary")
     def tokens(texts: pa.Array) -> pa.Array:
@@ -159,11 +155,29 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text"))
     long = F.char_length("text") > leaf_chars
-    short = rows.where(~long).select("key", tokens("text").alias("ids"))
     cut = rows.where(long).select("key", F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(leaves, f"key {kind}, rid long, seq int, piece string")
     encoded = cut.repartition("rid", "seq").withColumn("ids", tokens("piece"))
-    whole = encoded.groupBy("rid").applyInArrow(joined, f"key {kind}, ids binary")
-    return short.unionByName(whole).select(F.col("key").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    return rows.where(~long), encoded.groupBy("rid").applyInArrow(joined, f"key {kind}, ids binary")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Encode whole texts.
+
+    Returns ``id_col``, ``ids`` (binary, little-endian unsigned 32-bit) and
+    ``n_tokens``, one row per input row.  Null and empty texts have no tokens; a
+    null id stays null; repeated rows stay repeated; other columns of the input
+    are not read.  Special-token strings in a text become their ids.
+    """
+    spec = _shipped(docs.sparkSession, path)
+    short, whole = _split(docs, id_col, text_col, spec, leaf_chars)
+
+    def tokens(batches):
+        bpe = codec(spec.value)
+        for batch in batches_of_rows(batches, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(bpe.encode(x.as_py())) for x in batch.column(1)], pa.binary())], names=["key", "ids"])
+
+    rows = short.mapInArrow(tokens, f"key {docs.schema[id_col].dataType.simpleString()}, ids binary").unionByName(whole)
+    return rows.select(F.col("key").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 def decoder(spark: SparkSession, path: str | None = None):
@@ -183,8 +197,28 @@ def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, out
     return tokens.withColumn(out_col, decoder(tokens.sparkSession, path)(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encode, decode and digest every text: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
-    sha: Column = F.sha2(F.col("decoded").cast("binary"), 256)
-    both = decode(encode(docs, id_col, text_col, path), path=path)
-    return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha.alias("decoded_sha256"))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Encode, decode and digest every text: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    The same as :func:`decode` of :func:`encode`, and with the same rows; texts
+    that fit into a leaf go to Python once, and only their digests come back.
+    """
+    spec = _shipped(docs.sparkSession, path)
+    short, whole = _split(docs, id_col, text_col, spec, leaf_chars)
+
+    def digests(batches):
+        bpe = codec(spec.value)
+        for batch in batches_of_rows(batches, BATCH_BYTES):
+            counts, ids, decoded = [], [], []
+            for x in batch.column(1):
+                tokens = bpe.encode(x.as_py())
+                counts.append(len(tokens))
+                ids.append(hashlib.sha256(pack(tokens)).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(tokens).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = short.mapInArrow(digests, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    sha: Column = F.sha2(decoder(docs.sparkSession, path)("ids").cast("binary"), 256)
+    more = whole.select("key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), sha.alias("decoded_sha256"))
+    return rows.unionByName(more).withColumnRenamed("key", id_col)

@@ -51,6 +51,13 @@ def test_awkward_rows(awkward, library):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_round_trip_is_encode_then_decode(awkward):
+    from pyspark.sql import functions as F
+
+    both = bpe.decode(bpe.encode(awkward, leaf_chars=1000)).select("doc_id", "n_tokens", F.sha2("ids", 256), F.sha2(F.col("decoded").cast("binary"), 256))
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, bpe.round_trip(awkward, leaf_chars=1000).collect()), key=repr)
+
+
 def test_leaves_in_parallel(documents, library):
     got = {r["doc_id"]: bpe.unpack(r["ids"]).tolist() for r in bpe.encode(documents, leaf_chars=500).collect()}
     for r in documents.collect():
