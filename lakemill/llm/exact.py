@@ -10,6 +10,8 @@ their SHA-256 digest, so that no digest collision can merge two texts:
 3. the few winners of the salts meet by digest and give the group's winner.
 
 Winners go back to the rows by (digest, salt), a key that is as well spread.
+Only texts whose digest occurs again have anything to be compared with, so only
+they are read a second time and shuffled; a row's 64-bit hash finds them.
 """
 
 from __future__ import annotations
@@ -35,11 +37,15 @@ def _digest(text: Column, bits: int) -> Column:
     return full if bits == 256 else F.substring(full, 1, bits // 4)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int, bits: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("raw"))
-    rows = rows.select("id", F.char_length("raw").cast("long").alias("len"), normalised(F.col("raw")).alias("norm"))
-    return rows.select("id", "len", "norm", _digest(F.col("norm"), bits).alias("sha"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    return rows.withColumn("mark", F.xxhash64("raw")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+
+
+def _measured(rows: DataFrame, bits: int) -> DataFrame:
+    rows = rows.select("id", "mark", "salt", F.char_length("raw").cast("long").alias("len"), normalised(F.col("raw")).alias("norm"))
+    return rows.withColumn("sha", _digest(F.col("norm"), bits))
 
 
 # One decimal orders rows: more code points first, then real ids before null, then the smaller id.
@@ -68,7 +74,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     each other.  Of fully repeated rows exactly one is kept.  Other columns are
     not read; an empty table gives an empty result.
     """
-    rows = _keyed(docs, id_col, text_col, salts, digest_bits)
+    texts = _keyed(docs, id_col, text_col, salts)
+    slim = checkpointed(_measured(texts, digest_bits).select("id", "mark", "salt", "len", "sha"))
+    marks = slim.groupBy("sha", "salt", "mark").agg(F.count("*").alias("n"))
+    often = marks.groupBy(F.col("sha").alias("again")).agg(F.sum("n").alias("all")).where("all > 1")
+    places = marks.join(often, F.col("sha") == F.col("again"), "left_semi").select(F.col("mark").alias("m"), F.col("salt").alias("s")).distinct()
+    rows = _measured(texts.join(places, (F.col("mark") == F.col("m")) & (F.col("salt") == F.col("s")), "left_semi"), digest_bits)
     salted = rows.groupBy("sha", "salt", "norm").agg(F.max(_packed(F.col("len"), F.col("id"))).alias("best"), F.count("*").alias("n"))
     # Dealt out by digest alone, which serves the grouping and the count of texts below.
     groups = salted.repartition("sha").groupBy("sha", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
@@ -78,14 +89,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     winners = checkpointed(groups.select("sha", "best", "n", F.explode("salts").alias("salt"), F.col("norm").alias("only")))
     collided = bool(winners.where(F.col("only").isNotNull()).limit(1).count())
 
-    slim = rows if collided else rows.drop("norm")
+    slim = _measured(texts, digest_bits) if collided else slim
     on = [F.col("r.sha") == F.col("w.sha"), F.col("r.salt") == F.col("w.salt")]
     if collided:
         on.append(F.col("w.only").isNull() | (F.col("w.only") == F.col("r.norm")))
-    both = slim.alias("r").join(winners.alias("w"), on, "inner").select("r.id", "r.len", "r.sha", "r.salt", "w.best", "w.n", "w.only")
-    both = both.withColumn("keep_id", _id_of(F.col("best"))).withColumn("top", _packed(F.col("len"), F.col("id")) == F.col("best"))
+    both = slim.alias("r").join(winners.alias("w"), on, "left").select("r.id", "r.len", "r.sha", "r.salt", "w.best", "w.n", "w.only")
+    alone = F.col("best").isNull()
+    both = both.withColumn("top", alone | (_packed(F.col("len"), F.col("id")) == F.col("best")))
     first = F.row_number().over(Window.partitionBy("sha", "salt", "id", "only", "top").orderBy("len"))
-    return both.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("top") & (first == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    keep = F.when(alone, F.col("id")).otherwise(_id_of(F.col("best")))
+    return both.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("top") & (first == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
