@@ -43,11 +43,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
     return rows.withColumn("mark", F.xxhash64("raw")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
 
 
-def _measured(rows: DataFrame, bits: int) -> DataFrame:
-    rows = rows.select("id", "mark", "salt", F.char_length("raw").cast("long").alias("len"), normalised(F.col("raw")).alias("norm"))
+def _measured(rows: DataFrame, bits: int, *more: str) -> DataFrame:
+    rows = rows.select(*more, "id", "mark", "salt", F.char_length("raw").cast("long").alias("len"), normalised(F.col("raw")).alias("norm"))
     return rows.withColumn("sha", _digest(F.col("norm"), bits))
 
 
+def _again(slim: DataFrame) -> DataFrame:
+    """(m, s): marks and salts of the rows whose digest occurs again; a hot digest is combined by salts before it meets."""
+    marks = slim.groupBy("sha", "salt", "mark").agg(F.count("*").alias("n"))
+    often = marks.groupBy(F.col("sha").alias("again")).agg(F.sum("n").alias("all")).where("all > 1")
+    return marks.join(often, F.col("sha") == F.col("again"), "left_semi").select(F.col("mark").alias("m"), F.col("salt").alias("s")).distinct()
+
+
+def _here() -> Column:
+    """Whether a row's mark and salt are among those of :func:`_again`."""
+    return (F.col("mark") == F.col("m")) & (F.col("salt") == F.col("s"))
+
+
 # One decimal orders rows: more code points first, then real ids before null, then the smaller id.
 _ID_SPAN, _LEN_SPAN = Decimal(10**20), Decimal(10**21)
 
@@ -76,10 +88,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     """
     texts = _keyed(docs, id_col, text_col, salts)
     slim = checkpointed(_measured(texts, digest_bits).select("id", "mark", "salt", "len", "sha"))
-    marks = slim.groupBy("sha", "salt", "mark").agg(F.count("*").alias("n"))
-    often = marks.groupBy(F.col("sha").alias("again")).agg(F.sum("n").alias("all")).where("all > 1")
-    places = marks.join(often, F.col("sha") == F.col("again"), "left_semi").select(F.col("mark").alias("m"), F.col("salt").alias("s")).distinct()
-    rows = _measured(texts.join(places, (F.col("mark") == F.col("m")) & (F.col("salt") == F.col("s")), "left_semi"), digest_bits)
+    rows = _measured(texts.join(_again(slim), _here(), "left_semi"), digest_bits)
     salted = rows.groupBy("sha", "salt", "norm").agg(F.max(_packed(F.col("len"), F.col("id"))).alias("best"), F.count("*").alias("n"))
     # Dealt out by digest alone, which serves the grouping and the count of texts below.
     groups = salted.repartition("sha").groupBy("sha", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
@@ -104,16 +113,19 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with all their columns: the same choice as :func:`report`.
 
-    Each stage ranks equal texts and keeps the first.  The rank limit runs
-    before the shuffle as well, which is the local stage.  Rows that agree in
-    length and id go by their texts; those that agree in the text, too, count as
-    repeats of one row, and any one of them stays.
+    Rows whose digest occurs once stay where they are.  For the others each stage
+    ranks equal texts and keeps the first; the rank limit runs before the shuffle
+    as well, which is the local stage.  Rows that agree in length and id go by
+    their texts; those that agree in the text, too, count as repeats of one row,
+    and any one of them stays.
     """
-    names = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("raw"))
-    kept = kept.select("row", "id", F.char_length("raw").alias("len"), normalised(F.col("raw")).alias("norm"))
-    kept = kept.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    slim = checkpointed(_measured(_keyed(docs, id_col, text_col, salts), 256).select("mark", "salt", "sha"))
+    places = checkpointed(_again(slim))
+    salt = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(salts)).cast("int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_of(text_col)).alias("mark"), salt.alias("salt"))
+    raw = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    kept = _measured(rows.join(places, _here(), "left_semi").select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), raw.alias("raw"), "mark", "salt"), 256, "row")
     order = [F.col("len").desc(), F.col("id").asc_nulls_last(), F.col(f"row.`{text_col}`").asc_nulls_last()]
     for keys in (["sha", "salt", "norm"], ["sha", "norm"]):
         kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
-    return kept.select("row.*")
+    return rows.join(places, _here(), "left_anti").select("row.*").union(kept.select("row.*"))
