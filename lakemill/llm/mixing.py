@@ -5,9 +5,10 @@ sources by the highest quotients target / (2 s - 1), s = 1, 2, ...; then a
 source's seats go to its shards by the same rule, with the shards' words as
 votes.  Inside a shard the documents stand in a seeded order and their words make
 numbered blocks; the shard takes whole rounds of them, and then the first
-blocks of a seeded permutation of their numbers, as its quota says.  So every
-quota is an integer, every part can be computed on its own, and the same seed
-gives the same mix whatever the partitioning.
+blocks in a seeded order, as its quota says.  That order permutes runs of many
+blocks and keeps each run's blocks together, so that what is taken of a text is
+connected.  Every quota is an integer, every part can be computed on its own,
+and the same seed gives the same mix whatever the partitioning.
 
 Seats are never listed one by one: with V votes and B seats for n parties, a
 party's number of seats lies between its rounded shares at the divisors
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import WORD, checkpointed, n_words
 
 BLOCK_WORDS = 8
+#: Words of a run of blocks that stays together in the seeded order.
+RUN_WORDS = 256 * BLOCK_WORDS
 DOCS_PER_SHARD = 50_000
 MIN_SHARDS = 64
 WEIGHTS = (1, 2, 3)
@@ -95,28 +98,28 @@ def seats(parties: DataFrame, group: list[str], party: list[str], votes: str, to
     return placed.groupBy(*keep, "_low").agg(won.alias("_won")).select(*keep, (F.col("_low") + F.col("_won")).cast("long").alias("seats"))
 
 
-#: Block numbers are permuted by multiplication with this prime; shards have fewer blocks.
+#: Run numbers are permuted by multiplication with this prime; shards have fewer runs.
 STEP = 2_147_483_647
 
 
-def _rank(block: Column, p: Column) -> Column:
-    """The place of a block in the seeded order of its shard's whole blocks; what is left of a block stands last."""
-    return F.when(block < p["blocks"], (block * (STEP % p["blocks"]) + p["first"]) % p["blocks"]).otherwise(p["blocks"])
+def _rank(run: Column, p: Column) -> Column:
+    """The place of a run in the seeded order of its shard's whole runs; what is left of a run stands last."""
+    return F.when(run < p["runs"], (run * (STEP % p["runs"]) + p["first"]) % p["runs"]).otherwise(p["runs"])
 
 
-def _taken(block: Column, p: Column) -> Column:
-    """How many of a block's words are taken: all, the first few of the last block taken, or none."""
-    rank, whole = _rank(block, p), p["left"] - p["left"] % p["block"]
-    return F.when(rank * p["block"] < whole, p["block"]).when(rank * p["block"] == whole, p["left"] % p["block"]).otherwise(0)
+def _taken(run: Column, p: Column) -> Column:
+    """How many of a run's words are taken: all, the first ones of the last run taken, or none."""
+    rank, whole = _rank(run, p), p["left"] - p["left"] % p["run"]
+    return F.when(rank * p["run"] < whole, p["run"]).when(rank * p["run"] == whole, p["left"] % p["run"]).otherwise(0)
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS, keep: list[str] | None = None) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, run_words: int = RUN_WORDS, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS, keep: list[str] | None = None) -> DataFrame:
     """The mix, one row per input row: ``row`` (the columns ``keep`` of the input, all by default; only they are shuffled), ``size``, ``source_size``, ``target``, ``taken``, ``rounds``, ``part``, ``picks``.
 
     A row is taken ``rounds`` times whole and, once more, ``part`` words of it:
-    those of the blocks that ``picks`` describes (its first word's place in the
-    shard, and the shard's block size, number of whole blocks, words left to
-    take and start of the order).  No row is taken more than ``cap`` times.  Null
+    those of the runs that ``picks`` describes (its first word's place in the
+    shard, and the shard's run size, number of whole runs, words left to take
+    and start of the order).  No row is taken more than ``cap`` times.  Null
     texts have size 0 and nothing is taken of them; a null source is a source of
     its own, the last; null ids are dealt out and ordered by their texts, and
     repeated rows are rows like others.  An empty table gives an empty result.
@@ -143,16 +146,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = rows.withColumn("begin", F.coalesce(F.sum("size").over(ahead), F.lit(0))).join(quotas, ["name", "shard"])
     whole = F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long")
     placed = placed.withColumn("rounds", whole).withColumn("left", F.col("quota") - F.col("rounds") * F.col("words"))
-    blocks = F.floor(F.col("words") / block_words).cast("long")
-    first = F.pmod(F.xxhash64("name", "shard", F.lit(seed + 2)), F.greatest(blocks, F.lit(1)))
-    placed = placed.withColumn("picks", F.struct("begin", F.lit(block_words).cast("long").alias("block"), blocks.alias("blocks"), "left", first.alias("first")))
+    runs = F.floor(F.col("words") / run_words).cast("long")
+    first = F.pmod(F.xxhash64("name", "shard", F.lit(seed + 2)), F.greatest(runs, F.lit(1)))
+    placed = placed.withColumn("picks", F.struct("begin", F.lit(run_words).cast("long").alias("run"), runs.alias("runs"), "left", first.alias("first")))
 
     def overlap(acc: Column, k: Column) -> Column:
         p = F.col("picks")
-        stop = F.least(p["begin"] + F.col("size"), k * p["block"] + _taken(k, p))
-        return acc + F.greatest(F.lit(0).cast("long"), stop - F.greatest(p["begin"], k * p["block"]))
+        stop = F.least(p["begin"] + F.col("size"), k * p["run"] + _taken(k, p))
+        return acc + F.greatest(F.lit(0).cast("long"), stop - F.greatest(p["begin"], k * p["run"]))
 
-    numbers = F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("begin") + F.col("size") - 1) / block_words))
+    numbers = F.sequence(F.floor(F.col("begin") / run_words), F.floor((F.col("begin") + F.col("size") - 1) / run_words))
     part = F.when((F.col("size") > 0) & (F.col("left") > 0), F.aggregate(numbers, F.lit(0).cast("long"), overlap)).otherwise(0).cast("long")
     placed = placed.withColumn("part", part)
     return placed.select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).cast("long").alias("taken"), F.when(F.col("size") > 0, F.col("rounds")).otherwise(0).cast("long").alias("rounds"), "part", "picks")
@@ -174,8 +177,8 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     def picked(_: Column, i: Column) -> Column:
         p = F.col("picks")
         at = p["begin"] + i
-        block = F.floor(at / p["block"])
-        return at - block * p["block"] < _taken(block, p)
+        run = F.floor(at / p["run"])
+        return at - run * p["run"] < _taken(run, p)
 
     text = F.when(F.col("cut"), F.array_join(F.filter(words, picked), "")).otherwise(F.col(f"row.{text_col}"))
     out = rows.withColumn("new", text)

@@ -251,27 +251,44 @@ def test_targets(spark):
             assert math.isclose(r["target"] or 0.0, want[r["source"]], rel_tol=1e-9, abs_tol=1e-9)
 
 
-def check_blocks(df):
-    """The plan again, block by block: shards' words in order, whole rounds, then blocks by their place in the seeded order."""
-    rows = mixing.plan(df).collect()
+def check_runs(df, **how):
+    """The plan again, run by run: shards' words in order, whole rounds, then runs by their place in the seeded order."""
+    rows = mixing.plan(df, **how).collect()
     shards = defaultdict(list)
     for r in rows:
         p = r["picks"]
-        shards[r["row"]["source"], p["first"], p["blocks"], p["left"], r["source_size"]].append((p["begin"], r))
-    seen = 0
-    for (_, first, blocks, left, _), members in shards.items():
+        shards[r["row"]["source"], p["first"], p["runs"], p["left"], r["source_size"]].append((p["begin"], r))
+    seen = cut = 0
+    for (_, first, runs, left, _), members in shards.items():
         members = [m for m in members if m[1]["size"]]
         taken = left
-        size = members[0][1]["picks"]["block"] if members else 1
+        size = members[0][1]["picks"]["run"] if members else 1
         picked = set()
-        for k in sorted(range(blocks), key=lambda k: (k * mixing.STEP + first) % blocks) + [blocks]:
+        for k in sorted(range(runs), key=lambda k: (k * mixing.STEP + first) % runs) + [runs]:
             picked |= set(range(k * size, k * size + min(size, taken)))
             taken -= min(size, taken)
         for begin, r in members:
             assert r["part"] == sum(w in picked for w in range(begin, begin + r["size"]))
             assert r["taken"] == r["rounds"] * r["size"] + r["part"]
             seen += 1
+            cut += 0 < r["part"] < r["size"]
     assert seen == sum(r["size"] > 0 for r in rows)
+    return cut
+
+
+def test_runs(documents, monkeypatch):
+    """Runs of a few words cut most texts, long ones few; the texts of the mix have the words that the plan takes."""
+    monkeypatch.setattr(mixing, "MIN_SHARDS", 2)
+    assert check_runs(documents) < check_runs(documents, run_words=16)
+    texts = {r["doc_id"]: r["text"].split() for r in documents.collect() if r["text"]}
+    plan = {r["row"]["doc_id"]: r for r in mixing.plan(documents, run_words=16).collect()}
+    for r in mixing.mixed(documents, run_words=16).collect():
+        p = plan[r["doc_id"]]
+        words, all_words = r["text"].split(), texts[r["doc_id"]]
+        if len(words) != len(all_words):
+            assert len(words) == p["part"]
+            rest = iter(all_words)
+            assert all(w in rest for w in words)  # in their order
 
 
 def test_ranked(spark):
@@ -296,7 +313,7 @@ def test_mix(awkward, documents, empty):
             target[r["source"]] = r["target"]
         for s in taken:
             assert abs(taken[s] - target[s]) <= 2 * mixing.BLOCK_WORDS
-        check_blocks(df)
+        check_runs(df)
         out = mixing.mixed(df)
         assert out.columns == df.columns
         words = out.selectExpr("sum(regexp_count(text, '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+')) AS n").first()["n"]
