@@ -213,6 +213,32 @@ def rollup_sum(spark, sf_dir):
     return tables.aggregate("l", ["l_returnflag"], ["l_quantity"], "l_linestatus = 'O'", ["l_linestatus"])
 
 
+@query("SELECT l_returnflag, sum(l_quantity) * 2 AS l_quantity FROM lineitem GROUP BY l_returnflag")
+def rollup_kept(spark, sf_dir):
+    """A rollup takes part in inserts and still answers."""
+    tables = Tables(spark, _scratch(spark))
+    tables.create("l", "l_returnflag string, l_linestatus string, l_quantity double", [])
+    tables.insert("l", _t(spark, sf_dir, "lineitem"))
+    tables.add_rollup("l", "r", ["l_returnflag", "l_linestatus"], ["l_quantity"])
+    tables.insert("l", _t(spark, sf_dir, "lineitem"))
+    if not tables.rollup_for("l", ["l_returnflag"], ["l_quantity"], []):
+        raise AssertionError("the rollup is out of use")
+    return tables.aggregate("l", ["l_returnflag"], ["l_quantity"])
+
+
+@query("SELECT 'INSERT' AS event_type, count(*) AS n FROM customer UNION ALL SELECT 'UPDATE', count(*) FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'DELETE', count(*) FROM customer WHERE c_acctbal < 0")
+def change_statements(spark, sf_dir):
+    """Statements write the change log themselves."""
+    _t(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    log = _scratch(spark)
+    engine = Engine(spark, _scratch(spark), log)
+    engine.execute("CREATE TABLE c (k BIGINT PRIMARY KEY, nation INT, bal DOUBLE)")
+    engine.execute("INSERT INTO c SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+    engine.execute("UPDATE c SET nation = 100 WHERE nation = 3")
+    engine.execute("DELETE FROM c WHERE bal < 0")
+    return changes.read(spark, f"{log}/c").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type, count(*) AS n FROM (SELECT CASE WHEN c_acctbal < 0 THEN 'DELETE' ELSE 'UPDATE' END AS event_type FROM customer WHERE c_acctbal < 0 OR c_nationkey = 3) GROUP BY 1")
 def change_log(spark, sf_dir):
     before = _t(spark, sf_dir, "customer")

@@ -4,7 +4,8 @@ A table is a folder of versions.  A statement writes a new version beside the
 current one and then the next numbered pointer file, which must not be there
 yet: readers see the old state or the new one, a failed statement leaves no
 trace, and of two statements at once the later one fails.  Appends share the
-files of earlier versions by listing their folders.  Rows are found and merged
+files of earlier versions by listing their folders.  With a ``log`` each
+statement also appends its changes to a change log, after its commit.  Rows are found and merged
 with joins on the key; nothing is collected.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lakemill.streaming import changes
+
 #: Pointer files: the one with the highest number holds; the one before it stays for readers that have just looked.
 POINTER = re.compile(r"current-(\d{10})\.json")
 #: The folder column of tables that are partitioned by ranges or hashes.
@@ -54,8 +58,9 @@ class Meta:
 class Tables:
     """The tables below one folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, log: str | None = None) -> None:
+        """``log`` is a folder for change logs, one for each table with a primary key."""
+        self.spark, self.root, self.log = spark, root.rstrip("/"), log
 
     # Files, through Hadoop so that any store works
     def _path(self, p: str):
@@ -135,7 +140,11 @@ class Tables:
         self.meta(name)
         self._fs(self.root).rename(self._path(self._home(name)), self._path(self._home(new)))
         meta = self.meta(new)
-        meta.folders = [f.replace(f"{self._home(name)}/", f"{self._home(new)}/") for f in meta.folders]
+        moved = lambda fs: [f.replace(f"{self._home(name)}/", f"{self._home(new)}/") for f in fs]
+        meta.folders = moved(meta.folders)
+        for rollup in meta.rollups.values():
+            rollup["folders"] = moved(rollup["folders"])
+            rollup["version"] += rollup["version"] == meta.version
         self._commit(new, meta)
 
     def swap(self, a: str, b: str) -> None:
@@ -250,9 +259,19 @@ class Tables:
         return folder
 
     def _replace(self, name: str, df: DataFrame, meta: Meta | None = None) -> None:
-        meta = meta or self.meta(name)
+        altered, meta = meta is not None, meta or self.meta(name)
+        before = meta.folders
         meta.folders = [self._store(name, df, meta)]
         self._commit(name, meta)
+        if not altered:
+            self._logged(name, meta, before, meta.folders)
+
+    def _logged(self, name: str, meta: Meta, before: list[str], after: list[str]) -> None:
+        """Append what a statement changed, from the files before and after it, to the table's change log."""
+        if self.log and meta.key:
+            schema = T.StructType.fromJson(json.loads(meta.schema))
+            old, new = (self._files(meta, x).select(*schema.names) if x else self.spark.createDataFrame([], schema) for x in (before, after))
+            changes.append(posixpath.join(self.log, name), changes.changes(old, new, meta.key, int(time.time()), meta.version))
 
     def _replace_checked(self, name: str, df: DataFrame, keys: list[list[str]]) -> None:
         """Write the new state, and make it the table's only if its rows differ in each of these keys."""
@@ -263,8 +282,9 @@ class Tables:
             if written.dropna(subset=key).groupBy(*key).count().where("count > 1").limit(1).count():
                 self._fs(self.root).delete(self._path(folder), True)
                 raise DuplicateKey(f"{name} {key}")
-        meta.folders = [folder]
+        before, meta.folders = meta.folders, [folder]
         self._commit(name, meta)
+        self._logged(name, meta, before, meta.folders)
 
     def _numbered(self, name: str, df: DataFrame, column: str) -> tuple[DataFrame, str]:
         """Rows with a number each that never changes, as they are written once; and their folder, to be deleted."""
@@ -274,8 +294,14 @@ class Tables:
 
     def _append(self, name: str, df: DataFrame) -> None:
         meta = self.meta(name)
-        meta.folders.append(self._store(name, df, meta))
+        folder = self._store(name, df, meta)
+        meta.folders.append(folder)
+        for rollup in meta.rollups.values():  # rollups that hold so far take the new rows' sums as well
+            if rollup["version"] == meta.version:
+                rollup["folders"].append(self._rolled(name, self._files(meta, [folder]), rollup["keys"], rollup["sums"]))
+                rollup["version"] += 1
         self._commit(name, meta)
+        self._logged(name, meta, [], [folder])
 
     def _fitted(self, name: str, rows: DataFrame) -> DataFrame:
         """The rows with the table's columns and types; missing ones take their defaults."""
@@ -386,27 +412,35 @@ class Tables:
             self.delete(name, test)
             return
         meta = self.meta(name)
-        meta.folders = []
+        before, meta.folders = meta.folders, []
         self._commit(name, meta)
+        self._logged(name, meta, before, [])
 
     # Rollups
+    def _rolled(self, name: str, rows: DataFrame, keys: list[str], sums: list[str]) -> str:
+        folder = posixpath.join(self._home(name), f"rollup-{uuid.uuid4().hex}")
+        rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).write.parquet(folder)
+        return folder
+
     def add_rollup(self, name: str, rollup: str, keys: list[str], sums: list[str]) -> None:
-        """A table of sums by some columns, built now and used by :meth:`aggregate` while no later statement has changed the table."""
+        """A table of sums by some columns, which :meth:`aggregate` uses.
+
+        Inserts add to it; after any other change of the table it is out of use until it
+        is added again.
+        """
         meta = self.meta(name)
-        folder = posixpath.join(self._home(name), f"rollup-{uuid.uuid4().hex}")
-        self.read(name).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).write.parquet(folder)
-        meta.rollups[rollup] = {"keys": keys, "sums": sums, "folder": folder, "version": meta.version + 1}
+        meta.rollups[rollup] = {"keys": keys, "sums": sums, "folders": [self._rolled(name, self.read(name), keys, sums)], "version": meta.version + 1}
         self._commit(name, meta)
 
-    def rollup_for(self, name: str, keys: list[str], sums: list[str], filtered: list[str]) -> str | None:
-        """The smallest current rollup that answers sums of plain columns, grouped and filtered by its keys."""
+    def rollup_for(self, name: str, keys: list[str], sums: list[str], filtered: list[str]) -> list[str] | None:
+        """The folders of the smallest current rollup that answers sums of plain columns, grouped and filtered by its keys."""
         meta = self.meta(name)
         fit = [r for r in meta.rollups.values() if keys and r["version"] == meta.version and {*keys, *filtered} <= {*r["keys"]} and {*sums} <= {*r["sums"]}]
-        return min(fit, key=lambda r: len(r["keys"]))["folder"] if fit else None
+        return min(fit, key=lambda r: len(r["keys"]))["folders"] if fit else None
 
     def aggregate(self, name: str, keys: list[str], sums: list[str], where: str | None = None, filtered: list[str] | None = None) -> DataFrame:
         """Sums by keys, from a rollup if one fits; ``filtered`` names the columns of ``where``."""
-        folder = self.rollup_for(name, keys, sums, filtered or []) if where is None or filtered else None
-        df = self.spark.read.parquet(folder) if folder else self.read(name)
+        folders = self.rollup_for(name, keys, sums, filtered or []) if where is None or filtered else None
+        df = self.spark.read.parquet(*folders) if folders else self.read(name)
         df = df.where(where) if where else df
         return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])

@@ -1,7 +1,7 @@
 """Change streams: a log of row changes and its readers.
 
-A change is (commit_ts, event_type, key, before, after), with the images as JSON
-text.  The log is Parquet in folders by commit second, written by the statement
+A change is (commit_ts, seq, event_type, key, before, after), with the images as
+JSON text; ``seq`` orders changes of one commit time.  The log is Parquet in folders by commit second, written by the statement
 that makes the change; a reader is a file stream with the commit time as offset.
 Delivery is at least once and :func:`apply` is idempotent, so a table that
 follows a log ends in the same state however often a batch is repeated.
@@ -15,20 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-SCHEMA = "commit_ts long, event_type string, key string, before string, after string"
+SCHEMA = "commit_ts long, seq long, event_type string, key string, before string, after string"
 
 
 def _image(columns: list[str], side: str) -> Column:
     return F.to_json(F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in columns]), {"ignoreNullFields": "false"})
 
 
-def changes(before: DataFrame, after: DataFrame, key: list[str], commit_ts: int) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, key: list[str], commit_ts: int, seq: int = 0) -> DataFrame:
     """The changes between two states of a table."""
     columns = before.columns
     b, a = before.withColumn("_b", F.lit(True)).alias("b"), after.withColumn("_a", F.lit(True)).alias("a")
     both = b.join(a, [F.col(f"b.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in key], "full")
     kind = F.when(F.col("_b").isNull(), "INSERT").when(F.col("_a").isNull(), "DELETE").otherwise("UPDATE")
-    rows = both.select(F.lit(commit_ts).cast("long").alias("commit_ts"), kind.alias("event_type"), F.to_json(F.struct(*[F.coalesce(F.col(f"a.`{k}`"), F.col(f"b.`{k}`")).alias(k) for k in key])).alias("key"), F.when(F.col("_b").isNotNull(), _image(columns, "b")).alias("before"), F.when(F.col("_a").isNotNull(), _image(columns, "a")).alias("after"))
+    rows = both.select(F.lit(commit_ts).cast("long").alias("commit_ts"), F.lit(seq).cast("long").alias("seq"), kind.alias("event_type"), F.to_json(F.struct(*[F.coalesce(F.col(f"a.`{k}`"), F.col(f"b.`{k}`")).alias(k) for k in key])).alias("key"), F.when(F.col("_b").isNotNull(), _image(columns, "b")).alias("before"), F.when(F.col("_a").isNotNull(), _image(columns, "a")).alias("after"))
     return rows.where("NOT (before <=> after)")
 
 
@@ -38,7 +38,7 @@ def append(log: str, rows: DataFrame) -> None:
 
 def read(spark: SparkSession, log: str, since: int = 0) -> DataFrame:
     """The changes from ``since`` on, in commit order."""
-    return spark.read.schema(SCHEMA).parquet(log).where(F.col("commit_ts") >= since).orderBy("commit_ts", "key")
+    return spark.read.schema(SCHEMA).parquet(log).where(F.col("commit_ts") >= since).orderBy("commit_ts", "seq", "key")
 
 
 def subscribe(spark: SparkSession, log: str, since: int = 0, files_per_batch: int = 1000) -> DataFrame:
@@ -48,13 +48,13 @@ def subscribe(spark: SparkSession, log: str, since: int = 0, files_per_batch: in
 
 def follow(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
     """Give each batch of changes to ``handle``, sorted by commit."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle(df.orderBy("commit_ts", "key"), n))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle(df.orderBy("commit_ts", "seq", "key"), n))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def apply(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The state after ``rows``: the last image of each changed key, and all other rows as they were."""
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.col("commit_ts").desc()))
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.col("commit_ts").desc(), F.col("seq").desc()))
     newest = rows.withColumn("_place", last).where("_place = 1")
     keys = newest.select(F.from_json("key", base.select(*key).schema).alias("k")).select("k.*")
     images = newest.where("event_type <> 'DELETE'").select(F.from_json("after", base.schema).alias("r")).select("r.*")
