@@ -101,6 +101,10 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT n_nationkey, rank() OVER w a, count(*) OVER w b, sum(n_nationkey) OVER v c, ntile(2) OVER v d FROM nation WINDOW w AS (PARTITION BY n_regionkey), v AS (PARTITION BY n_regionkey ORDER BY n_nationkey)",
         "SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey ORDER BY 0) AS a, count(*) OVER (PARTITION BY n_regionkey) AS b, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS c, ntile(2) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS d FROM nation",
     ),
+    "agg_group_concat_orders": (
+        "SELECT n_regionkey, GROUP_CONCAT(DISTINCT left(n_name, 1) ORDER BY n_nationkey DESC SEPARATOR '-') a, GROUP_CONCAT(DISTINCT n_regionkey ORDER BY n_name) b, GROUP_CONCAT(DISTINCT right(n_name, 1) ORDER BY n_nationkey % 2, n_nationkey) c FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, (SELECT string_agg(x, '-' ORDER BY m DESC) FROM (SELECT left(n_name, 1) AS x, max(n_nationkey) AS m FROM nation i WHERE i.n_regionkey = o.n_regionkey GROUP BY 1)) AS a, n_regionkey::VARCHAR AS b, (SELECT string_agg(x, ',' ORDER BY m) FROM (SELECT right(n_name, 1) AS x, min((n_nationkey % 2) * 1000 + n_nationkey) AS m FROM nation i WHERE i.n_regionkey = o.n_regionkey GROUP BY 1)) AS c FROM (SELECT DISTINCT n_regionkey FROM nation) o",
+    ),
     "agg_bitmap_xor": (
         "SELECT rb_cardinality(rb_xor_agg(b)) n FROM (SELECT l_returnflag, rb_build_agg(l_suppkey) b FROM lineitem GROUP BY l_returnflag) t",
         "SELECT count(*) FILTER (k % 2 = 1) AS n FROM (SELECT l_suppkey, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_suppkey)",
