@@ -372,10 +372,11 @@ def refine(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Bucket-pointer refinement: of ``starts``, those whose 50 bytes in ``data`` occur at another start, and their buckets."""
     if not len(starts):
         return starts, starts
-    padded = np.r_[data, np.zeros(LENGTH + GRAM, np.uint8)]
+    padded = np.r_[data, np.zeros(LENGTH + 2 * GRAM, np.uint8)]
     grams = np.zeros(len(data) + LENGTH, _U)
-    for k in range(GRAM):
-        grams = (grams << _U(8)) | padded[k : k + len(grams)].astype(_U)
+    for k in range(GRAM):  # every eighth string of 8 bytes is a number of the same view
+        own = grams[k::GRAM]
+        own[:] = padded[k : k + GRAM * len(own)].view(">u8")
     steps = [GRAM]
     while sum(steps) < LENGTH:
         steps.append(min(sum(steps), LENGTH - sum(steps)))
@@ -385,26 +386,28 @@ def refine(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         mark = np.zeros(len(grams), bool)
         mark[needed[-1]] = mark[needed[-1] + step] = True
         needed.append(np.flatnonzero(mark))
-    pointer = np.zeros(len(grams), np.int64)
+    pointer = np.zeros(len(grams), np.uint32)
     suffixes = needed.pop()
-    suffixes = suffixes[np.argsort(grams[suffixes], kind="stable")]
-    first, end = _cuts(grams[suffixes])
-    pointer[suffixes] = np.repeat(end - 1, end - first)
+    key = grams[suffixes]
+    order = np.argsort(key)
+    suffixes, key = suffixes[order], key[order]
+    first, end = _cuts(key)
+    pointer[suffixes] = np.repeat((end - 1).astype(np.uint32), end - first)
     for step in steps[1:]:
         live = needed.pop()
         live = live[_crowded(pointer[live])]
         if not len(live):
             return live, live
-        bucket, ahead = pointer[live], pointer[live + step]
-        order = np.lexsort((ahead, bucket))
-        live, bucket, ahead = live[order], bucket[order], ahead[order]
+        key = pointer[live].astype(_U) << _U(32) | pointer[live + step]
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        bucket = key >> _U(32)
         first, end = _cuts(bucket)
         after = np.repeat(end, end - first)  # where the suffix's old bucket ends among the live ones
-        first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])])
-        end = np.r_[first[1:], len(live)]
-        pointer[live] = bucket - (after - np.repeat(end, end - first))
+        first, end = _cuts(key)
+        pointer[live] = bucket.astype(np.int64) - (after - np.repeat(end, end - first))
     keep = live[_crowded(pointer[live])]
-    return keep, pointer[keep]
+    return keep, pointer[keep].astype(np.int64)
 
 
 def _crowded(bucket: np.ndarray) -> np.ndarray:
