@@ -26,7 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays.
 
-    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more.
+    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more;
+    tries of the sets' SimHashes bring them together, the sets are checked then.
     """
     return simhash.survivors(docs, size=5, wide=True)
 

@@ -1,21 +1,23 @@
-"""Near copies by shingle similarity: an exact join of shingle sets, pruned by Hamming budgets.
+"""Near copies by shingle similarity: SimHash tries in exact parts, and a check of the shingle sets.
 
-SimHash can't tell a Jaccard similarity of 0.8 for certain, so near copies of a
-given similarity are found by fingerprints of another kind.  A set's parity
-fingerprint has a bit for each class of shingles, set if an odd number of them
-is in the set.  Two sets differ in at least as many shingles as their parity
-fingerprints differ in bits; and sets of similarity 4/5 or more differ in at most
-a ninth of their sizes' sum.  So a pair whose differing bits exceed that error
-budget is given up, and no alike pair ever is.
+The pairs come from the self-join of binary tries of :mod:`lakemill.llm.simhash`, over
+fingerprints of WIDE_BITS bits.  Sets of Jaccard similarity 4/5 or more differ in
+more than WIDE_BUDGET of them with probability below 2 ** -64.  SimHash alone can't tell
+0.8 from less, so what the tries bring is checked on the whole sets.
 
-* Blocks.  Each set's rarest shingles (a fifth and one) deal it out to blocks; any
+* Parts.  Each set's rarest shingles (a fifth and one) deal it out to blocks; any
   two alike sets meet in one, where their places in the order of rarity must also
   leave enough to share.  A crowded block is cut into chunks and each two meet.
-* Pairs.  In its blocks a set names a few near partners within the budget; they are
-  checked on the whole sets and components follow.  A block that has more pairs,
-  of sets not connected by then, is asked again; what is left after that goes
-  to the block as whole sets.  So what is sent stays in proportion to the rows of
-  blocks, and no pair is left out.
+* Tries.  Each block's fingerprints make a trie that is joined with itself; a node
+  pair is given up when its differing bits exceed the budget.
+* Check.  A parity fingerprint has a bit for each class of shingles, set if an odd
+  number of them is in the set, so two sets differ in at least as many shingles as
+  their parity fingerprints in bits; alike sets differ in at most a ninth of their
+  sizes' sum.  Pairs of the tries beyond that need no texts; a set names a few partners
+  of the others, which are checked on the whole sets, and components follow.  A block
+  that has more pairs, of sets not connected by then, is asked again; what is left
+  after that goes to the block as whole sets.  So what is sent stays in proportion to
+  the rows of blocks, and no pair of the tries is left out.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from lakemill.llm.common import batches_of_rows, checkpointed, components, whole
 #: Sets are alike from this Jaccard similarity on.
 ALIKE = (4, 5)
 PART_ROWS = 20_000
-#: Partners that a row names in the first and in the second round, and bytes of fingerprints compared at once.
+#: Partners that a row names in the first and in the second round, and bytes of fingerprints or sets held at once.
 PARTNERS, COMPARED = (2, 16), 32 << 20
 #: Bits of the parity fingerprints of small and of large sets.
 LEAST_BITS, MOST_BITS = 512, 4096
@@ -120,15 +122,17 @@ def commonness(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def profiles(common: np.ndarray, size: int):
-    """A column function from text to (fp, n, prefix, parity): its node, the size of its set, its rarest shingles in order, its parity fingerprint.
+    """A column function from text to (fp, n, prefix, parity, simhash): its node, the size of its set, its rarest shingles in order, its fingerprints.
 
     Two sets of Jaccard similarity ALIKE or more have one of these shingles in
     common: their first common one is so far ahead in both that enough can follow.
     """
 
-    @F.arrow_udf("fp long, n int, prefix binary, parity binary")
+    @F.arrow_udf("fp long, n int, prefix binary, parity binary, simhash binary")
     def cut(texts: pa.Array) -> pa.Array:
-        fps, ns, prefixes, parities = [], [], [], []
+        from lakemill.llm.simhash import wide_fingerprint
+
+        fps, ns, prefixes, parities, prints = [], [], [], [], []
         for x in texts:
             shingles = set_of(x.as_py() or "", size)
             n = len(shingles)
@@ -136,7 +140,9 @@ def profiles(common: np.ndarray, size: int):
             ns.append(n)
             prefixes.append(shingles[np.lexsort((shingles, common[_bucket(shingles)]))[: n - -(-ALIKE[0] * n // ALIKE[1]) + 1]].tobytes() if n else b"")
             parities.append(parity(shingles))
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], names=["fp", "n", "prefix", "parity"])
+            prints.append(wide_fingerprint(shingles))
+        columns = [pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(ns, pa.int32()), *(pa.array(x, pa.binary()) for x in (prefixes, parities, prints))]
+        return pa.StructArray.from_arrays(columns, names=["fp", "n", "prefix", "parity", "simhash"])
 
     return cut
 
@@ -198,6 +204,8 @@ class _Rows:
         self.root = number("root") if "root" in table.column_names else self.fp
         self.start = np.flatnonzero(np.r_[True, self.block[1:] != self.block[:-1]])
         self.end = np.r_[self.start[1:], len(self.block)]
+        if "simhash" in table.column_names:
+            self.simhash = np.frombuffer(b"".join(table["simhash"].to_pylist()), "<u8").reshape(len(self.block), -1)
         if "parity" in table.column_names:
             prints = table["parity"].to_pylist()
             self.width = np.fromiter(map(len, prints), np.int64, len(prints)) // 8
@@ -247,6 +255,20 @@ class _Rows:
                 good[some] = sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (self.n[x[some]] + self.n[y[some]])
         return good
 
+    def pairs(self, budget: int, visits=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) of the blocks' rows that tries of their SimHashes bring together, y's node being less, without those that can't be alike or are connected."""
+        from lakemill.llm.simhash import near_pairs
+
+        order = np.lexsort((*self.simhash.T[::-1], self.block))
+        for a, b in near_pairs(self.simhash[order], budget, self.start, visits):
+            x, y = order[a], order[b]
+            x, y = np.where(self.fp[x] > self.fp[y], x, y), np.where(self.fp[x] > self.fp[y], y, x)
+            some = self._fits(x, y) & (self.fp[x] != self.fp[y]) & (self.root[x] != self.root[y])
+            x, y = x[some], y[some]
+            near = self.near(x, y)
+            if near.any():
+                yield x[near], y[near]
+
 
 def _meeting(batches):
     """The rows (block, fp, sizes) that can be alike to another row of their block."""
@@ -263,28 +285,28 @@ def _meeting(batches):
 def _named(most: int):
     """Pairs (kind 0: a, b): a node of a block with its first near partners, ``most`` at most; and (kind 1: block, fp, sizes) the rows of blocks that have more pairs.
 
-    Reads rows (block, fp, sizes, root, parity); nodes of one root are connected already.
+    Reads rows (block, fp, sizes, root, parity, simhash); nodes of one root are connected already.
     """
+    from lakemill.llm import simhash
+
+    budget = simhash.WIDE_BUDGET
 
     def named(batches):
         for table in whole_blocks(batches):
-            rows, open_rows = _Rows(table), np.zeros(table.num_rows, bool)
-            two = rows.twos()
-            two = two[rows.near(two, two + 1)]
-            left, right = [rows.fp[two]], [rows.fp[two + 1]]
-            for own in rows.larger():
-                some, more = [], False
-                for x, y in rows.admitted(own):
-                    near = rows.near(x, y)
-                    x, y = x[near], y[near]
-                    nth = np.arange(len(x)) - np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1] if len(x) else x
-                    more |= bool((nth >= most).any())
-                    some += [x, y]
-                    left.append(rows.fp[y[nth < most]])
-                    right.append(rows.fp[x[nth < most]])
-                if more:
-                    open_rows[np.concatenate(some)] = True
-            a, b = np.concatenate(left), np.concatenate(right)
+            rows, left, right = _Rows(table), [], []
+            block = np.repeat(np.arange(len(rows.start)), rows.end - rows.start)
+            partners, paired, more = np.zeros(len(block), np.int64), np.zeros(len(block), bool), np.zeros(len(rows.start), bool)
+            for x, y in rows.pairs(budget):
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                nth = partners[x] + np.arange(len(x)) - np.searchsorted(x, x)
+                partners += np.bincount(x, minlength=len(block))
+                paired[x] = paired[y] = True
+                more[block[x[nth >= most]]] = True
+                left.append(rows.fp[y[nth < most]])
+                right.append(rows.fp[x[nth < most]])
+            open_rows = paired & more[block]
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             zero, one = np.zeros(pair.shape[1], np.int64), np.ones(int(open_rows.sum()), np.int64)
             columns = [(zero, one), (pair[0], rows.block[open_rows]), (pair[1], rows.fp[open_rows]), (zero, rows.sizes[open_rows])]
@@ -314,33 +336,36 @@ def _verified(size: int):
 
 
 def _settled(size: int):
-    """Links (a, b) that connect all alike sets of a block, from rows (block, fp, sizes, root, parity, text)."""
+    """Links (a, b) that connect all alike sets of a block, from rows (block, fp, sizes, root, parity, simhash, text)."""
+    from lakemill.llm import simhash
+
+    budget = simhash.WIDE_BUDGET
 
     def settled(batches):
         for table in whole_blocks(batches):
-            rows, found = _Rows(table), []
-            blocks = [np.array([k, k + 1]) for k in rows.twos().tolist()] + list(rows.larger())
-            for own in blocks:
-                sets: dict[int, np.ndarray] = {}
-                up: dict[int, int] = {}
-
-                def find(r, up=up):
-                    while r in up:
-                        r = up[r]
-                    return r
-
-                for x, y in rows.admitted(own):
-                    near = rows.near(x, y)
-                    for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                        p, q = find(int(rows.root[i])), find(int(rows.root[j]))
-                        if p == q:
-                            continue
-                        for k in (i, j):
-                            if k not in sets:
-                                sets[k] = set_of(table["text"][k].as_py(), size)
-                        if _alike(sets[i], sets[j]):
-                            up[max(p, q)] = min(p, q)
-                            found.append((int(rows.fp[j]), int(rows.fp[i])))
+            rows, found, held = _Rows(table), [], 0
+            sets: dict[int, np.ndarray] = {}
+            up: dict[int, int] = {}
+
+            def find(r, up=up):
+                while r in up:
+                    r = up[r]
+                return r
+
+            for x, y in rows.pairs(budget):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    p, q = find(int(rows.root[i])), find(int(rows.root[j]))
+                    if p == q:
+                        continue
+                    if held > COMPARED:
+                        sets, held = {}, 0
+                    for k in (i, j):
+                        if rows.fp[k] not in sets:
+                            sets[rows.fp[k]] = set_of(table["text"][k].as_py(), size)
+                            held += sets[rows.fp[k]].nbytes
+                    if _alike(sets[rows.fp[i]], sets[rows.fp[j]]):
+                        up[max(p, q)] = min(p, q)
+                        found.append((int(rows.fp[j]), int(rows.fp[i])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return settled
@@ -349,7 +374,7 @@ def _settled(size: int):
 def alike_links(prints: DataFrame, texts: DataFrame, ids: DataFrame, common: np.ndarray, size: int, part_rows: int = PART_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of sets with Jaccard similarity ALIKE or more.
 
-    ``prints`` has (fp, n, prefix, parity) of each distinct set, ``texts`` (id,
+    ``prints`` has (fp, n, prefix, parity, simhash) of each distinct set, ``texts`` (id,
     digest, text) and ``ids`` (id, digest, fp) of each row.  Each link is checked
     on the whole sets.
     """
@@ -365,8 +390,8 @@ def alike_links(prints: DataFrame, texts: DataFrame, ids: DataFrame, common: np.
         return found.where("kind = 0").select("a", "b").distinct()
 
     blocks = prints.select("fp", "n", "prefix").mapInArrow(_blocks(common, part_rows), "block long, fp long, sizes long")
-    met = by_block(blocks).mapInArrow(_meeting, "block long, fp long, sizes long").join(prints.select("fp", "parity"), "fp")
-    found = checkpointed(by_block(met.select("block", "fp", "sizes", F.col("fp").alias("root"), "parity")).mapInArrow(_named(PARTNERS[0]), kinds))
+    met = by_block(blocks).mapInArrow(_meeting, "block long, fp long, sizes long").join(prints.select("fp", "parity", "simhash"), "fp")
+    found = checkpointed(by_block(met.select("block", "fp", "sizes", F.col("fp").alias("root"), "parity", "simhash")).mapInArrow(_named(PARTNERS[0]), kinds))
     pairs, more = checkpointed(pairs_of(found)), rows_of(found)
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(more.select("fp")).distinct()
     # One row of each node.
@@ -380,10 +405,10 @@ def alike_links(prints: DataFrame, texts: DataFrame, ids: DataFrame, common: np.
         return checkpointed(both.mapInArrow(_verified(size), "a long, b long"))
 
     def still_apart(more: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows of blocks whose sets are not all connected, with their roots and parity fingerprints."""
+        """Rows of blocks whose sets are not all connected, with their roots and fingerprints."""
         rooted = more.join(components(links), F.col("fp") == F.col("node"), "left").select("block", "fp", "sizes", F.coalesce("root", "fp").alias("root"))
         apart = rooted.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("block")
-        return rooted.join(apart, "block", "left_semi").join(prints.select("fp", "parity"), "fp").select("block", "fp", "sizes", "root", "parity")
+        return rooted.join(apart, "block", "left_semi").join(prints.select("fp", "parity", "simhash"), "fp").select("block", "fp", "sizes", "root", "parity", "simhash")
 
     links = checked(pairs)
     if not more.limit(1).count():
@@ -392,5 +417,5 @@ def alike_links(prints: DataFrame, texts: DataFrame, ids: DataFrame, common: np.
     links, more = links.union(checked(pairs_of(found).join(pairs, ["a", "b"], "left_anti"))), rows_of(found)
     if not more.limit(1).count():
         return links
-    whole = still_apart(more, links).join(chosen, "fp").select("block", "fp", "sizes", "root", "parity", "text")
+    whole = still_apart(more, links).join(chosen, "fp").select("block", "fp", "sizes", "root", "parity", "simhash", "text")
     return links.union(checkpointed(by_block(whole).mapInArrow(_settled(size), "a long, b long")))

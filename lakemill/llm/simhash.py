@@ -15,12 +15,16 @@ so on: the argument holds for them as well, so nothing is lost or capped.  Parts
 report only the links of a spanning forest, at most one a row, and connected
 components follow by label exchange between tables.
 
-Near copies of a given shingle similarity differ in too many bits for bands; they
-are found by fingerprints with an exact budget (see :mod:`lakemill.llm.alike`).
+Near copies of a given shingle similarity differ in too many bits for bands.  Their
+sets have fingerprints of WIDE_BITS bits, joined by the same tries under a larger
+budget, in parts that shingles deal out (see :mod:`lakemill.llm.alike`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +38,11 @@ BITS, BUDGET, SHINGLE, PART_ROWS = 64, 2, 3, 20_000
 SEED = 42
 #: So many node pairs go down the tries together.
 FRONTIER = 1 << 17
+#: Bits of the fingerprint of a set of shingles, and how many may differ in sets of Jaccard similarity 4/5 or more.  A bit
+#: differs with probability 3/16 at most (sets of 4 and 5 shingles; 0.162 for any others), so that more than 183 do with less
+#: than 2 ** -64: a pair is lost no likelier than two shingles have one hash.
+WIDE_BITS, WIDE_BUDGET = 512, 183
+_DRAWN = np.arange(1, WIDE_BITS // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -49,6 +58,18 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return _majority(shingle_hashes(text, size))
 
 
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of a set of shingle hashes in WIDE_BITS bits, all 0 for an empty set."""
+    total = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(shingles), 255):  # so many add up in a byte
+        x = shingles[at : at + 255, None] + _DRAWN  # each hash is drawn out to WIDE_BITS by SplitMix64
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(shingles), bitorder="little").tobytes()
+
+
 def fingerprints(spark: SparkSession, size: int = SHINGLE):
     """A column function from text to its fingerprint, as a signed long with the same bits."""
     ready(spark)
@@ -100,8 +121,8 @@ class Visits:
         self.visited = self.pruned = self.single = self.whole = 0
 
 
-def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | None = None, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of a spanning forest over distinct sorted fingerprints within ``budget`` bits.
+def near_nodes(prints: np.ndarray, budget: int, starts: np.ndarray | None = None, visits: Visits | None = None) -> Iterator[np.ndarray]:
+    """Pairs of nodes (a0, a1, b0, b1) all of whose paths are within ``budget`` bits, over sorted fingerprints of one or more words each.
 
     ``starts`` are the first rows of tries that are joined each with itself (one
     by default).  A node is a run of the sorted rows with one prefix.  All node
@@ -110,11 +131,16 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | No
     row each are paths without branches, whose other bits are added up at once.
     """
     visits = visits or Visits()
+    words = prints.reshape(len(prints), -1) if len(prints) else prints.reshape(0, 1)
+    bits = BITS * words.shape[1]
     starts = np.zeros(1, np.int64) if starts is None else starts
-    ones = {d: np.r_[0, np.cumsum((prints >> np.uint64(BITS - 1 - d)) & np.uint64(1))].astype(np.int64) for d in range(BITS)}
-    ends = np.r_[starts[1:], len(prints)]
-    a, b = [], []
-    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros(len(starts), np.int64)]))] if len(prints) else []
+
+    @lru_cache(BITS)
+    def ones(depth: int) -> np.ndarray:
+        return np.r_[0, np.cumsum((words[:, depth // BITS] >> np.uint64(BITS - 1 - depth % BITS)) & np.uint64(1), dtype=np.int64)]
+
+    ends = np.r_[starts[1:], len(words)]
+    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros(len(starts), np.int64)]))] if len(words) else []
     while stack:
         depth, pairs = stack.pop()
         same = pairs[0] == pairs[2]
@@ -125,16 +151,15 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | No
         pairs = pairs[:, ~over]
         single = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
         visits.single += int(single.sum())
-        x, y = pairs[0, single], pairs[2, single]
-        near = np.bitwise_count(prints[x] ^ prints[y]) <= budget
-        a.append(x[near])
-        b.append(y[near])
+        paths = pairs[:4, single]
+        apart = np.zeros(paths.shape[1], np.int64)
+        for word in words.T:
+            apart += np.bitwise_count(word[paths[0]] ^ word[paths[2]])
+        yield paths[:, apart <= budget]
         pairs = pairs[:, ~single]
-        whole = BITS - depth <= budget - pairs[4]  # whatever the other bits are, all of these link
+        whole = bits - depth <= budget - pairs[4]  # whatever the other bits are, all of these link
         visits.whole += int(whole.sum())
-        for a0, a1, b0, b1, _ in pairs[:, whole].T.tolist():
-            a.append(np.r_[np.arange(a0, a1), np.full(b1 - b0, a0)])
-            b.append(np.r_[np.full(a1 - a0, b0), np.arange(b0, b1)])
+        yield pairs[:4, whole]
         pairs = pairs[:, ~whole]
         if not pairs.shape[1]:
             continue
@@ -142,11 +167,24 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | No
             stack += [(depth, x) for x in np.array_split(pairs, -(-pairs.shape[1] // FRONTIER), axis=1)]
             continue
         a0, a1, b0, b1, spent = pairs
-        same = a0 == b0
-        am, bm = a1 - (ones[depth][a1] - ones[depth][a0]), b1 - (ones[depth][b1] - ones[depth][b0])
+        same, one = a0 == b0, ones(depth)
+        am, bm = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])
         apart = ~same
         below = [(a0, am, b0, bm, spent), (am, a1, bm, b1, spent), (a0, am, bm, b1, spent + 1), tuple(x[apart] for x in (am, a1, b0, bm, spent + 1))]
         stack.append((depth + 1, np.concatenate([np.stack(x) for x in below], axis=1)))
+
+
+def _rows_of(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The rows of runs that begin at ``first`` and have ``n`` each."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | None = None, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of a spanning forest over distinct sorted fingerprints within ``budget`` bits, by tries as in :func:`near_nodes`."""
+    a, b = [], []
+    for a0, a1, b0, b1 in near_nodes(prints, budget, starts, visits):
+        a += [_rows_of(a0, a1 - a0), np.repeat(a0, b1 - b0 - 1)]
+        b += [np.repeat(b0, a1 - a0), _rows_of(b0 + 1, b1 - b0 - 1)]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     some = a != b
     a, b = a[some], b[some]
@@ -154,6 +192,16 @@ def trie_links(prints: np.ndarray, budget: int = BUDGET, starts: np.ndarray | No
     return a[tree], b[tree]
 
 
+def near_pairs(prints: np.ndarray, budget: int, starts: np.ndarray | None = None, visits: Visits | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a, b) of rows within ``budget`` bits, each once and some at a time, by tries as in :func:`near_nodes`."""
+    for a0, a1, b0, b1 in near_nodes(prints, budget, starts, visits):
+        a, b, n = _rows_of(a0, a1 - a0), np.repeat(b0, a1 - a0), np.repeat(b1 - b0, a1 - a0)
+        piece = (np.cumsum(n) - n) // FRONTIER
+        for some in np.split(np.arange(len(a)), np.flatnonzero(np.diff(piece)) + 1) if len(a) else []:
+            x, y = np.repeat(a[some], n[some]), _rows_of(b[some], n[some])
+            yield x[x < y], y[x < y]  # a node with itself has each pair twice; of two nodes the first comes before
+
+
 def _joined(budget: int):
     """Links from rows (part, fp) sorted by part, by one trie for each part."""
 
@@ -229,7 +277,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One document of each component, that with the smallest id, with all its columns.
 
     ``wide`` joins texts whose sets of shingles have Jaccard similarity 0.8 or
-    more, all of them and no others, by :func:`lakemill.llm.alike.alike_links`; otherwise ``budget``
+    more, all of them and no others: tries of their wide fingerprints find the pairs, whole
+    sets are checked (:func:`lakemill.llm.alike.alike_links`).  Otherwise ``budget``
     bits of 64 may differ.  Texts without words are equal.  If rows share that id
     and its fingerprint (its set), the first by text stays.
     """

@@ -3,6 +3,8 @@
 import hashlib
 import random
 from collections import defaultdict
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +281,47 @@ def test_parity_bound():
             assert rows.near(np.array([0]), np.array([1]))[0]
 
 
+def test_wide_pairs(monkeypatch):
+    """Tries of fingerprints of many words bring each pair within the budget together once, in each part alone."""
+    rng = np.random.Generator(np.random.PCG64(16))
+    words = simhash.WIDE_BITS // 64
+    bits = np.repeat(rng.integers(0, 2, (12, simhash.WIDE_BITS), dtype=np.uint8), 15, axis=0)
+    for row, n in zip(bits, rng.integers(0, 130, len(bits)) * (rng.random(len(bits)) < 0.8), strict=True):  # a fifth are copies
+        row[rng.choice(simhash.WIDE_BITS, n, replace=False)] ^= 1
+    prints, part = np.packbits(bits, axis=1).view("<u8"), np.sort(rng.integers(0, 4, len(bits)))
+    assert prints.shape == (180, words)
+    order = np.lexsort((*prints.T[::-1], part))
+    prints, starts = prints[order], np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    for budget in (0, 60, simhash.WIDE_BUDGET, 400):
+        want = sorted(zip(*(x.tolist() for x in np.nonzero(np.triu((apart <= budget) & (part[:, None] == part[None]), 1))), strict=True))
+        for frontier in (1 << 17, 700):
+            monkeypatch.setattr(simhash, "FRONTIER", frontier)
+            assert sorted((int(i), int(j)) for x, y in simhash.near_pairs(prints, budget, starts) for i, j in zip(x, y, strict=True)) == want
+
+
+def test_wide_budget():
+    """A bit of two alike sets differs with probability 3/16 at most, and more bits than the budget below 2 ** -64."""
+    coins = lambda n: np.array([comb(n, k) / 2**n for k in range(n + 1)])
+
+    def differs(n, m, both):
+        heads = np.arange(both + 1)
+        x, y = (np.array([coins(k - both)[2 * (h + np.arange(k - both + 1)) > k].sum() for h in heads]) for k in (n, m))
+        return float((coins(both) * (x * (1 - y) + y * (1 - x))).sum())
+
+    worst = {(n, m): differs(n, m, -(-4 * (n + m) // 9)) for n in range(1, 61) for m in range(n, 5 * n // 4 + 1)}
+    assert worst[4, 5] == 3 / 16 and max(v for k, v in worst.items() if k != (4, 5)) < 0.162
+    tail = sum(Fraction(comb(simhash.WIDE_BITS, k) * 3**k * 13 ** (simhash.WIDE_BITS - k), 16**simhash.WIDE_BITS) for k in range(simhash.WIDE_BUDGET + 1, simhash.WIDE_BITS + 1))
+    assert tail < Fraction(1, 2**64)
+    rng = np.random.Generator(np.random.PCG64(17))
+    for n in (5, 300, 1000):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.frombuffer(simhash.wide_fingerprint(s), np.uint8) for s in (x, x[: 4 * n // 5]))
+        strange = np.frombuffer(simhash.wide_fingerprint(rng.integers(0, 2**63, n, dtype=np.uint64)), np.uint8)
+        assert len(a) * 8 == simhash.WIDE_BITS and np.bitwise_count(a ^ b).sum() <= simhash.WIDE_BUDGET < np.bitwise_count(a ^ strange).sum()
+    assert not any(simhash.wide_fingerprint(np.zeros(0, "<u8")))
+
+
 def test_wide_nodes(spark, monkeypatch):
     """Texts that share 64 bits of SimHash are not joined for that; each has its own links."""
     words = [f"w{k}" for k in range(200)]

@@ -72,3 +72,16 @@ def test_near_dedup_exact(spark, data, documents):
                 root = {x: low if r == high else r for x, r in root.items()}
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents, data).collect()}
     assert kept == {i for i, r in root.items() if i == r}
+
+
+def test_near_dedup_by_simhash(spark, data, monkeypatch):
+    """All links of the stage come through the tries of SimHashes: without an error budget none is left."""
+    import corpus_pipeline
+
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(8)]
+    rows = [(2 * k + j, " ".join(w[: 60 - 3 * j])) for k, w in enumerate(words) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda: {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect()}
+    assert kept() == set(range(0, 16, 2))
+    monkeypatch.setattr(simhash, "WIDE_BUDGET", -1)
+    assert kept() == set(range(16))
